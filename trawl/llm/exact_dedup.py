@@ -46,9 +46,10 @@ def frequent(keyed: DataFrame, key: str, share: float = SHARE, tracked: int = TR
     """Values of ``key`` that may have at least ``share`` of the rows: no more than ``tracked``."""
     name = f"`{key}`"
     parts = keyed.groupBy((F.spark_partition_id() % FAN).alias("_group")).agg(F.expr(f"approx_top_k_accumulate({name}, {tracked})").alias("_sketch"), F.count("*").alias("_rows"))
-    one = parts.agg(F.expr(f"approx_top_k_combine(_sketch, {tracked})").alias("_sketch"), F.sum("_rows").alias("_rows"))
+    # by a key that all share, as a merge without a key fails in a partition without rows
+    one = parts.groupBy((F.col("_group") < 0).alias("_all")).agg(F.expr(f"approx_top_k_combine(_sketch, {tracked})").alias("_sketch"), F.sum("_rows").alias("_rows"))
     # there is no sketch to ask where no task saw a row
-    top = one.where("_rows > 0").select(F.explode(F.expr(f"approx_top_k_estimate(_sketch, {tracked})")).alias("_top"), "_rows")
+    top = one.select(F.explode(F.expr(f"approx_top_k_estimate(_sketch, {tracked})")).alias("_top"), "_rows")
     return top.where(F.col("_top.count") >= F.greatest(F.lit(2.0), share / 2 * F.col("_rows"))).select(F.col("_top.item").alias(key))
 
 
