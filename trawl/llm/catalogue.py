@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import bpe, exact_dedup, packing, repair
+from trawl.llm import bpe, exact_dedup, packing, repair, simhash
 
 #: The id that ends a document in packed and written ids.
 END_ID = 2
@@ -22,6 +22,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.cluster(_table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,6 +54,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op6_packing": op6_packing,
     "op8_exact_dedup": op8_exact_dedup,
