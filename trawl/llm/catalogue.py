@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trawl.llm import bpe, exact_dedup, packing, repair, simhash
+from trawl.llm import bpe, exact_dedup, packing, pii, repair, simhash
 
 #: The id that ends a document in packed and written ids.
 END_ID = 2
@@ -40,6 +40,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.resolve(_table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.read(repair.write(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), END_ID))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_bpe": op4_bpe,
     "op6_packing": op6_packing,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_pii": op9_pii,
     "op10_token_ids": op10_token_ids,
 }
 
