@@ -1,14 +1,62 @@
-"""The corpus pipeline: documents in, packed sequences out."""
+"""The corpus pipeline: documents in, packed sequences out.
+
+Each stage applies one operator of ``trawl.llm`` to all that its predecessor
+kept, and all but the last return the columns of ``documents``. ``run`` writes
+what a stage returns as Parquet to the shared folder and rereads it.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trawl.llm import catalogue, exact_dedup, packing, pii, quality, simhash
+from trawl.staging import staged
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the ordinal classifier selects."""
+    return quality.select(docs, catalogue.quality_model(spark, sf_dir))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest doc_id."""
+    return exact_dedup.deduplicate(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each SimHash component the document with the smallest doc_id."""
+    return simhash.deduplicate(docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data generalised or removed; n_chars counts the new text."""
+    clean = pii.sanitise(docs)
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents, with their places in sequences."""
+    return packing.pack(docs, catalogue.tokenizer("byte_bpe_50k.json"), catalogue.END_ID)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("SimHash near-dedup", near_stage),
+    ("PII", pii_stage),
+    ("best-fit packing", packing_stage),
+]
+
+#: SQL can't express the classifier, the shingles' hashes or the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = staged(stage(spark, docs, sf_dir), f"stage-{k}")
     return docs

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +24,28 @@ Batches = Iterator[pa.RecordBatch]
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 
 
+@lru_cache(maxsize=2)
+def _encoder(ranks_path: str, pattern: str) -> Chunked:
+    """A worker keeps it, and the states that texts have visited, from task to task."""
+    encoder = Encoder(read_ranks(ranks_path), pattern)
+    return Chunked(lambda keys: [np.array(encoder.encode(chunk_of(k)), dtype="<u4").tobytes() for k in keys])
+
+
+@lru_cache(maxsize=2)
+def _decoder(ranks_path: str) -> Decoder:
+    return Decoder(read_ranks(ranks_path))
+
+
 def encode_batches(batches: Batches, ranks_path: str, pattern: str) -> Batches:
     """(doc_id, text) to (doc_id, ids as little-endian unsigned 32-bit bytes)."""
-    encoder = Encoder(read_ranks(ranks_path), pattern)
-    chunked = Chunked(lambda keys: [np.array(encoder.encode(chunk_of(k)), dtype="<u4").tobytes() for k in keys])
+    chunked = _encoder(ranks_path, pattern)
     for few in groups(batches):
         yield pa.record_batch([few[0], pa.array(chunked.encode(few[1].to_pylist()), pa.binary())], schema=_ENCODED)
 
 
 def decode_batches(batches: Batches, ranks_path: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Each batch of encoded rows with its texts."""
-    decoder = Decoder(read_ranks(ranks_path))
+    decoder = _decoder(ranks_path)
     for few in batches:
         yield few, [decoder.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in few[1].to_pylist()]
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from trawl.llm import bpe, exact_dedup, packing, pii, repair, simhash
+from trawl.llm import bpe, exact_dedup, packing, pii, quality, repair, simhash
 
 #: The id that ends a document in packed and written ids.
 END_ID = 2
@@ -16,12 +17,23 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
 
 
+def quality_model(spark: SparkSession, sf_dir: str) -> quality.Model:
+    """Fitted on the labels: grade 0 is low quality, 1 toxic, 2 neither."""
+    grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).when((F.col("quality") == 1) & (F.col("toxic") == 0), 2)
+    ratings = _table(spark, sf_dir, "labels").select("doc_id", grade.alias("grade"))
+    return quality.fit(_table(spark, sf_dir, "documents"), ratings, top=2)
+
+
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(_table(spark, sf_dir, "documents"))
 
@@ -29,11 +41,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.round_trip(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), END_ID)
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), END_ID)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +57,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair.read(repair.write(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), END_ID))
+    return repair.read(repair.write(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), END_ID))
 
 
 OP8_SQL = """
@@ -58,6 +70,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op6_packing": op6_packing,

@@ -11,15 +11,16 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-#: Chunks that a worker remembers before it starts anew, and the longest it keeps.
-REMEMBERED = 200_000
+#: Chunks in each of the two generations that a worker remembers, and the longest it keeps.
+REMEMBERED = 400_000
 LONGEST = 48
 #: Documents that are taken together.
-TOGETHER = 256
+TOGETHER = 512
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 
@@ -43,12 +44,17 @@ class Chunked:
     def __init__(self, encode_keys: Callable[[list[str]], Iterable[bytes]]):
         self.encode_keys = encode_keys
         self.seen: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.seen) > REMEMBERED:
-            self.seen.clear()
+            self.seen, self.older = {}, self.seen
         cut = [keys_of(t) for t in texts]
         missing = list(set().union(*cut).difference(self.seen))
+        if missing and self.older:
+            older = self.older
+            self.seen.update((k, older[k]) for k in missing if k in older)
+            missing = [k for k in missing if k not in older]
         if missing:
             self.seen.update(zip(missing, self.encode_keys(missing), strict=True))
         get = self.seen.__getitem__
@@ -59,8 +65,9 @@ class Chunked:
         return out
 
 
+@lru_cache(maxsize=2)
 def library_encoder(path: str) -> Chunked:
-    """Ids by the tokenizers library, from its JSON file."""
+    """Ids by the tokenizers library, from its JSON file. A worker keeps it, and what it remembers, from task to task."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
