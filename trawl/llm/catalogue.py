@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import bpe, exact_dedup, packing, pii, quality, repair, simhash
+from trawl.llm import bpe, exact_dedup, packing, pii, quality, repair, simhash, vector_graph
 
 #: The id that ends a document in packed and written ids.
 END_ID = 2
@@ -48,6 +48,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), END_ID)
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.link(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.resolve(_table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op6_packing": op6_packing,
+    "op7_embeddings": op7_embeddings,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_pii": op9_pii,
     "op10_token_ids": op10_token_ids,
