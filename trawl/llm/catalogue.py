@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import bpe, exact_dedup, packing, pii, quality, repair, simhash, vector_graph
+from trawl.llm import bpe, exact_dedup, packing, passages, pii, quality, repair, simhash, vector_graph
 
 #: The id that ends a document in packed and written ids.
 END_ID = 2
@@ -44,6 +44,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeats(_table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), END_ID)
 
@@ -77,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
+    "op5_passages": op5_passages,
     "op6_packing": op6_packing,
     "op7_embeddings": op7_embeddings,
     "op8_exact_dedup": op8_exact_dedup,
