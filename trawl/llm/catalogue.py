@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import bpe, exact_dedup, packing, passages, pii, quality, repair, simhash, vector_graph
+from trawl.llm import bpe, exact_dedup, lm, packing, passages, pii, quality, repair, simhash, vector_graph
 
 #: The id that ends a document in packed and written ids.
 END_ID = 2
@@ -34,6 +34,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.cluster(_table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ FROM d WINDOW g AS (PARTITION BY text_sha256)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_lm_scores": op2_lm_scores,
     "op3_simhash": op3_simhash,
     "op4_bpe": op4_bpe,
     "op5_passages": op5_passages,

@@ -7,8 +7,7 @@ import numpy as np
 SPACE, PUNCT, WORD = 0, 1, 2
 #: What each byte is: white space and controls, ASCII punctuation, or part of a word.
 CLASS = np.array([SPACE if b <= 32 or b == 127 else WORD if b >= 128 or chr(b).isalnum() else PUNCT for b in range(256)], dtype=np.uint8)
-_LOWER = np.array([b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], dtype=np.uint64)
-_BASE = np.uint64(0x100000001B3)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
 _STEP = 1 << 16
 
 
@@ -34,6 +33,10 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+#: A random number for each byte, the same for A-Z and a-z.
+_VALUE = mixed(np.array([b + 33 if 65 <= b <= 90 else b + 1 for b in range(256)], dtype=np.uint64))
+
+
 def _powers(table: np.ndarray, n: int) -> np.ndarray:
     """The first ``n`` powers of the table's base."""
     while len(table) < n:
@@ -45,5 +48,5 @@ def _powers(table: np.ndarray, n: int) -> np.ndarray:
 def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """Polynomial hashes of ``data[first:last]``, with A-Z in lower case."""
     with np.errstate(over="ignore"):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOWER[data] * _powers(_POWER, len(data)))])
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * _powers(_POWER, len(data)))])
         return mixed((sums[last] - sums[first]) * _powers(_UNPOWER, len(data) + 1)[first])
