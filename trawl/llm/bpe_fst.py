@@ -3,12 +3,12 @@
 ``Transducer`` turns the ranks of a byte-level BPE into a finite-state
 transducer over bytes that is determinised only as far as texts visit it. A
 state is the longest suffix of the input that a token could still extend (the
-lookahead, shorter than the longest token) with, for each position inside it,
-the tokens that encode the input up to there and that aren't out yet. What
-all positions agree on is emitted on the transition, as in Mohri's
-determinisation. The last token of a prefix's encoding follows from shorter
-prefixes: of the tokens that end there it is the one that stays next to the
-token before it when BPE is run on the two alone.
+lookahead, shorter than the longest token), with the last token of the encoding
+of the input up to each position inside it. A transition reads a byte and puts
+out the last token of what is read then: of the tokens that end there it is the
+one that stays next to the last token before it when BPE is run on the two
+alone. A token is emitted as soon as the encodings up to all positions of the
+lookahead agree on it.
 
 ``Decoder`` turns ids back into text piece by piece. Its automaton reads UTF-8
 byte by byte; transitions over whole tokens are compiled when first needed. It
@@ -23,8 +23,10 @@ from collections.abc import Iterable, Iterator
 import regex
 
 #: States and remembered words before a worker starts anew, which bounds its memory.
-STATES = 150_000
+STATES = 300_000
 WORDS = 200_000
+#: Bytes that are held before settled tokens are emitted.
+HELD = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -39,14 +41,16 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
+        self.size = {i: len(t) for t, i in ranks.items()}
         self.heads = {t[:k] for t in ranks for k in range(len(t))}
         self.stays: dict[tuple[int, int], bool] = {}
         self._restart()
 
     def _restart(self) -> None:
-        self.known = {(b"", ((),)): 0}
-        self.states: list[tuple[bytes, tuple]] = [(b"", ((),))]
-        self.delta: list[dict[int, tuple[int, tuple]]] = [{}]
+        start = (b"", (-1,))
+        self.known = {start: 0}
+        self.states: list[tuple[bytes, tuple[int, ...]]] = [start]
+        self.delta: list[dict[int, tuple[int, int]]] = [{}]
 
     def merge(self, text: bytes) -> list[int]:
         """The merges as defined, lowest rank first: what the transducer is compiled from."""
@@ -67,46 +71,53 @@ class Transducer:
             found = self.stays[a, b] = self.merge(self.token[a] + self.token[b]) == [a, b]
         return found
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple]:
-        """Compile one transition: the next state and what it emits."""
-        window, pending = self.states[state]
+    def _step(self, state: int, byte: int) -> tuple[int, int]:
+        """Compile one transition: the next state, and the last token once ``byte`` is read."""
+        window, last = self.states[state]
         grown = window + bytes((byte,))
-        for size in range(len(grown), 0, -1):
-            t = self.ranks.get(grown[-size:])
-            before = pending[len(grown) - size]
-            # an empty remainder is the start of the match or the token emitted last, which is kept as a mark
-            if t is not None and (not before or self.side_by_side(before[-1], t)):
-                new = (*before, t)
-                break
-        keep = next(k for k in range(len(grown), -1, -1) if k == 0 or grown[-k:] in self.heads)
-        rest = (*pending, new)[-(keep + 1) :]
-        # all but the last common token is out; the last one stays as the left neighbour of what comes
-        shared = 0
-        while all(len(r) > shared + 1 for r in rest) and len({r[shared] for r in rest}) == 1 and len({r[shared + 1] for r in rest}) == 1:
-            shared += 1
-        out = rest[0][:shared]
-        after = (grown[len(grown) - keep :], tuple(r[shared:] for r in rest))
+        n = len(grown)
+        token = next(t for k in range(n) if (t := self.ranks.get(grown[k:])) is not None and (last[k] < 0 or self.side_by_side(last[k], t)))
+        keep = next(k for k in range(n, -1, -1) if grown[n - k :] in self.heads)
+        after = (grown[n - keep :], (*last, token)[n - keep :])
         if (to := self.known.get(after)) is None:
             to = self.known[after] = len(self.states)
             self.states.append(after)
             self.delta.append({})
-        arc = self.delta[state][byte] = (to, out)
+        arc = self.delta[state][byte] = (to, token)
         return arc
 
     def encode(self, text: bytes) -> list[int]:
         """Ids of one match of the pattern; a text that is a token is that token."""
         whole = self.ranks.get(text)
-        if whole is not None:
-            return [whole]
+        return [whole] if whole is not None else [t for part in self.stream(text) for t in part]
+
+    def stream(self, text: bytes) -> Iterator[list[int]]:
+        """Tokens as the lookahead settles them."""
         if len(self.states) > STATES:
             self._restart()
-        state, out, delta = 0, [], self.delta
+        state, delta, ends = 0, self.delta, []
         for byte in text:
-            arc = delta[state].get(byte) or self._step(state, byte)
-            state = arc[0]
-            if arc[1]:
-                out += arc[1]
-        out += self.states[state][1][-1]
+            state, token = delta[state].get(byte) or self._step(state, byte)
+            ends.append(token)
+            if len(ends) >= HELD:
+                # all encodings of the lookahead lead back to one place
+                open_ = {len(ends) - k for k in range(len(self.states[state][0]) + 1)}
+                while len(open_) > 1:
+                    at = max(open_)
+                    open_ = open_ - {at} | {at - self.size[ends[at - 1]]}
+                settled = open_.pop()
+                if settled:
+                    yield self._back(ends[:settled])
+                    ends = ends[settled:]
+        yield self._back(ends)
+
+    def _back(self, ends: list[int]) -> list[int]:
+        """The encoding that ends where ``ends`` does."""
+        out, at, size = [], len(ends), self.size
+        while at:
+            out.append(token := ends[at - 1])
+            at -= size[token]
+        out.reverse()
         return out
 
 

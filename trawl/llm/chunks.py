@@ -1,10 +1,12 @@
 """Encoding of whole texts by remembered chunks.
 
-The pattern of the byte-level tokenizers never matches across a place where a
-single space follows a character that isn't white space: a space can only be
-the first character of a match that has others. So a text may be cut there,
-and each chunk (mostly a word with its space and punctuation) need be encoded
-once per worker. Runs of spaces stay whole.
+The pattern of the byte-level tokenizers never matches across some places: a
+space only ever is the first character of a match that has others, so a text
+may be cut before a single space; a single line feed is a match by itself; and
+so is a full stop or comma between a letter or digit and a space or line feed.
+The chunks (mostly words with their space) are encoded once per worker. Where
+white space comes in runs, or other than as spaces and line feeds, a text is
+cut only before single spaces.
 """
 
 from __future__ import annotations
@@ -23,19 +25,25 @@ LONGEST = 48
 TOGETHER = 512
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
+#: Marks a key whose chunk is what follows it; the chunk of another key is a space and the key.
+_RAW = "\x01"
+# white space of Unicode and Python other than space and line feed, and the mark
+_OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x01]")
+_SPACES = re.compile("\\s")
+_STOP = re.compile("([.,])(?<=[A-Za-z0-9À-ÖØ-öø-ÿ][.,])(?=[ \n])")
 
 
 def keys_of(text: str) -> list[str]:
-    """The chunks of a text, as keys: without its space if it starts with one and has no other; else after an added space."""
-    if "  " not in text:
-        keys = text.split(" ")
-        keys[0] = " " + keys[0]
-        return keys
-    return [c[1:] if c[0] == " " and " " not in c[1:] else " " + c for c in _CUT.split(text)]
+    """The chunks of a text, as keys."""
+    if "  " in text or "\n\n" in text or " \n" in text or "\n " in text or _OTHER.search(text):
+        return [c[1:] if c[0] == " " and _RAW not in c and " " not in c[1:] else _RAW + c for c in _CUT.split(text)] if text else []
+    keys = _STOP.sub(" \x01\\1", text).replace("\n", " \x01\n \x01").split(" ")
+    keys[0] = _RAW + keys[0]
+    return keys
 
 
 def chunk_of(key: str) -> str:
-    return key[1:] if key[:1] == " " else " " + key
+    return key[1:] if key[:1] == _RAW else " " + key
 
 
 class Chunked:
@@ -82,16 +90,24 @@ def library_encoder(path: str) -> Chunked:
     def ids(texts: list[str]) -> list[np.ndarray]:
         return [np.array(x.ids, dtype="<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    feed = tokenizer.token_to_id("Ċ")  # and a line feed
+
+    def split(text: str, keys: list[str], opening: bool) -> dict[str, bytes]:
+        """Ids of many chunks as one text: each opens with a space, or a line feed stands between any two."""
+        if not keys:
+            return {}
+        together = ids([text])[0]
+        starts = np.flatnonzero(opens[together] if opening else together == feed)
+        ends = np.append(starts[1:], len(together)) if opening else np.append(starts, len(together))
+        starts = starts if opening else np.append(0, starts + 1)
+        assert len(starts) == len(keys)
+        raw = together.tobytes()
+        return {k: raw[4 * a : 4 * b] for k, a, b in zip(keys, starts.tolist(), ends.tolist(), strict=True)}
+
     def encode(keys: list[str]) -> list[bytes]:
-        spaced = [k for k in keys if k and k[0] != " "]
-        found: dict[str, bytes] = {}
-        if spaced:
-            # one text of all of them; each chunk's first token is the only one that opens with a space
-            together = ids([" " + " ".join(spaced)])[0]
-            starts = np.flatnonzero(opens[together])
-            assert len(starts) == len(spaced)
-            raw, ends = together.tobytes(), np.append(starts[1:], len(together))
-            found = {k: raw[4 * a : 4 * b] for k, a, b in zip(spaced, starts.tolist(), ends.tolist(), strict=True)}
+        spaced = [k for k in keys if k and k[0] != _RAW and not _SPACES.search(k)]
+        plain = [k for k in keys if k[:1] == _RAW and len(k) > 1 and not _SPACES.search(k)]
+        found = split(" " + " ".join(spaced), spaced, True) | split("\n".join(k[1:] for k in plain), plain, False)
         rest = [k for k in keys if k not in found]
         found.update((k, x.tobytes()) for k, x in zip(rest, ids([chunk_of(k) for k in rest]), strict=True))
         return [found[k] for k in keys]
