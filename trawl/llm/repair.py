@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.chunks import groups, library_encoder
@@ -43,43 +43,38 @@ LEAST_SAVING = 0.02
 _BITS = 20
 #: Stands for a null doc_id in a shard.
 _NULL = -(2**63)
-_SHARDS = "_task int, _shard int, n_ids long, payload binary"
+_SHARDS = "_task int, _before long, n_ids long, payload binary"
 _ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def _pairs(seq: np.ndarray, closes: np.ndarray, frequent: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent pairs, as left and right symbols."""
-    key = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:].astype(np.uint64)
-    key = key[~closes[seq[:-1]]]
-    # what falls in a rarely hit place of a small table can't be frequent
-    place = ((key * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)).astype(np.int64)
-    key = key[np.bincount(place, minlength=1 << _BITS)[place] >= frequent]
-    found, counts = np.unique(key, return_counts=True)
-    found, counts = found[counts >= frequent], counts[counts >= frequent]
-    best = found[np.argsort(-counts, kind="stable")[:most]]
-    return (best >> np.uint64(32)).astype(np.uint32), (best & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-
-
-def _replace(seq: np.ndarray, left: np.ndarray, right: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sequence with pair i replaced by ``first`` + i, and which positions stay."""
-    keys = left.astype(np.uint64) << np.uint64(32) | right.astype(np.uint64)
-    order = np.argsort(keys)
-    keys = keys[order]
-    starts = np.zeros(int(seq.max()) + 1, dtype=bool)
-    starts[left] = True
-    at = np.flatnonzero(starts[seq[:-1]])
-    here = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1].astype(np.uint64)
-    slot = np.minimum(np.searchsorted(keys, here), len(keys) - 1)
-    hit = keys[slot] == here
-    at, symbol = at[hit], (first + order[slot[hit]]).astype(np.uint32)
+def _round(seq: np.ndarray, closes: np.ndarray, frequent: int, most: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Replace frequent pairs, the i-th by ``first`` + i: their left and right symbols, the new sequence, and which positions stay."""
+    left, right = seq[:-1], seq[1:]
+    place = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BITS)
+    counts = np.bincount(place, minlength=1 << _BITS)
+    # what falls in a rarely hit place of the small table can't be frequent; of pairs that share a place one is looked at
+    at = np.flatnonzero((counts >= frequent)[place] & ~closes[left])
+    place, key = place[at], left[at].astype(np.uint64) << np.uint64(32) | right[at]
+    one = np.zeros(1 << _BITS, np.uint64)
+    one[place] = key
+    own = one[place] == key
+    at, place = at[own], place[own]
+    counts = np.bincount(place, minlength=1 << _BITS)
+    hit = np.flatnonzero(counts >= frequent)
+    best = hit[np.argsort(-counts[hit], kind="stable")[:most]]
+    rule = np.full(1 << _BITS, -1, np.int32)
+    rule[best] = np.arange(len(best))
+    mine = rule[place]
+    at, mine = at[mine >= 0], mine[mine >= 0]
     # of pairs that overlap in a run, every other one
-    opens = np.r_[True, np.diff(at) > 1]
+    opens = np.diff(at, prepend=-2) > 1
     since = np.arange(len(at)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]
-    at, symbol = at[since % 2 == 0], symbol[since % 2 == 0]
+    at, mine = at[since % 2 == 0], mine[since % 2 == 0]
     out, stays = seq.copy(), np.ones(len(seq), dtype=bool)
-    out[at] = symbol
+    out[at] = (first + mine).astype(np.uint32)
     stays[at + 1] = False
-    return out[stays], stays
+    pairs = one[best]
+    return (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), out[stays], stays
 
 
 def compress(ids: np.ndarray, doc_ids: list[int], sizes: list[int], end_id: int, frequent: int = FREQUENT, rounds: int = ROUNDS) -> bytes:
@@ -95,11 +90,10 @@ def compress(ids: np.ndarray, doc_ids: list[int], sizes: list[int], end_id: int,
     for _ in range(rounds):
         if len(seq) < 2:
             break
-        a, b = _pairs(seq, closes, frequent, NEW_RULES)
+        before = len(seq)
+        a, b, seq, stays = _round(seq, closes, frequent, NEW_RULES, first)
         if not len(a):
             break
-        before = len(seq)
-        seq, stays = _replace(seq, a, b, first)
         begins = begins[stays]
         closes, lengths = np.r_[closes, closes[b]], np.r_[lengths, lengths[a] + lengths[b]]
         left, right, first = [*left, a], [*right, b], first + len(a)
@@ -186,15 +180,15 @@ def shard_batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id
     """Ordered (doc_id, text) to shards."""
     from pyspark import TaskContext
 
-    tokenizer, end, number = library_encoder(tokenizer_path), np.uint32(end_id).tobytes(), 0
+    tokenizer, end, before = library_encoder(tokenizer_path), np.uint32(end_id).tobytes(), 0
     held: list[tuple[int, bytes]] = []
     n = 0
 
     def close() -> pa.RecordBatch:
         payload = compress(np.frombuffer(b"".join(x for _, x in held), "<u4"), [d for d, _ in held], [len(x) // 4 for _, x in held], end_id)
-        kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-        row = [TaskContext.get().partitionId(), number, n, payload]
-        return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["_task", "_shard", "n_ids", "payload"])
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+        row = [TaskContext.get().partitionId(), before, n, payload]
+        return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["_task", "_before", "n_ids", "payload"])
 
     for few in groups(batches):
         for doc_id, ids in zip(few[0].to_pylist(), tokenizer.encode(few[1].to_pylist()), strict=True):
@@ -202,13 +196,13 @@ def shard_batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id
             n += len(ids) // 4 + 1
             if n >= size:
                 yield close()
-                held, n, number = [], 0, number + 1
+                held, n, before = [], 0, before + n
     if held:
         yield close()
 
 
 def write(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SHARD) -> DataFrame:
-    """The shards of ``docs`` as a written table: _task, _shard, n_ids, payload."""
+    """The shards of ``docs`` as a written table: _task, _before (ids before it in the task), n_ids, payload."""
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return staged(ordered.mapInArrow(lambda b: shard_batches(b, tokenizer_path, end_id, size), _SHARDS), "shards")
@@ -228,13 +222,10 @@ def read(shards: DataFrame) -> DataFrame:
                     rows.append((None if doc_id == _NULL else doc_id, before + at[k], at[k + 1] - at[k], zlib.crc32(ids[4 * at[k] : 4 * at[k + 1]])))
                 yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    sizes = shards.select("_task", "_shard", "n_ids")
     total, tasks = 0, []
-    for r in sizes.groupBy("_task").agg(F.sum("n_ids").alias("n")).orderBy("_task").collect():  # a row for each task that wrote
+    for r in shards.groupBy("_task").agg(F.sum("n_ids").alias("n")).orderBy("_task").collect():  # a row for each task that wrote
         tasks.append((r["_task"], total))
         total += r["n"]
     bases = shards.sparkSession.createDataFrame(tasks, "_task int, _base long")
-    inside = Window.partitionBy("_task").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("_in", F.coalesce(F.sum("n_ids").over(inside), F.lit(0))).join(F.broadcast(bases), "_task")
-    whole = shards.join(starts.select("_task", "_shard", (F.col("_base") + F.col("_in")).alias("_before")), ["_task", "_shard"])
-    return whole.select("_before", "payload").mapInArrow(run, _ROWS)
+    whole = shards.join(F.broadcast(bases), "_task")
+    return whole.select((F.col("_base") + F.col("_before")).alias("_before"), "payload").mapInArrow(run, _ROWS)
