@@ -22,6 +22,7 @@ class Index:
 
     docs: DataFrame
     postings: DataFrame
+    written: bool = False
 
     def domains(self) -> DataFrame:
         """domain, n documents, avgdl, total tokens."""
@@ -38,7 +39,7 @@ class Index:
 
     def stored(self) -> Index:
         """The same index from written tables, postings together by domain and term."""
-        return Index(staged(self.docs, "documents"), staged(self.postings.repartition("domain", "term"), "postings"))
+        return Index(staged(self.docs, "documents"), staged(self.postings.repartition("domain", "term"), "postings"), True)
 
 
 def tokens_of(corpus: DataFrame, tokenizer: str) -> DataFrame:
@@ -50,11 +51,18 @@ def tokens_of(corpus: DataFrame, tokenizer: str) -> DataFrame:
 def build(corpus: DataFrame, tokenizer: str = "simple") -> Index:
     """Index of ``corpus`` (domain, doc_id, text)."""
     docs = corpus.select("domain", "doc_id", F.size(text.TOKENIZERS[tokenizer](F.col("text"))).cast("long").alias("len"))
-    tokens = tokens_of(corpus, tokenizer).where("term IS NOT NULL")
     if tokenizer in text.STEMMED:
-        tokens = porter.with_stems(tokens)
-    postings = tokens.groupBy("domain", "doc_id", "len", "term").agg(F.count("*").cast("double").alias("tf"))
-    return Index(docs, postings)
+        stems = porter.with_stems(tokens_of(corpus, tokenizer).where("term IS NOT NULL"))
+        return Index(docs, stems.groupBy("domain", "doc_id", "len", "term").agg(F.count("*").cast("double").alias("tf")))
+    return Index(docs, _postings(corpus.select("domain", "doc_id", F.sort_array(text.TOKENIZERS[tokenizer](F.col("text"))).alias("_s"))))
+
+
+def _postings(docs: DataFrame) -> DataFrame:
+    """Postings of documents with sorted tokens ``_s``: a row's terms are counted as runs within the row, without a shuffle."""
+    starts = F.expr("CASE WHEN size(_s) > 0 THEN filter(sequence(0, size(_s) - 1), i -> i = 0 OR _s[i] != _s[i - 1]) ELSE CAST(array() AS array<int>) END")
+    runs = F.expr("transform(_at, (p, k) -> named_struct('term', _s[p], 'tf', CAST(coalesce(get(_at, k + 1), size(_s)) - p AS DOUBLE)))")
+    rows = docs.withColumn("_at", starts).select("domain", "doc_id", F.size("_s").cast("long").alias("len"), F.explode(runs).alias("_x"))
+    return rows.select("domain", "doc_id", "len", "_x.term", "_x.tf")
 
 
 def query_terms(queries: DataFrame, tokenizer: str, form: str) -> DataFrame:
