@@ -20,6 +20,7 @@ from trawl.operators.index import Index, build, query_terms, tokens_of
 from trawl.operators.search import Weighting, dense, search, touched
 from trawl.plans import oracle as O
 from trawl.plans import pipeline
+from trawl.shipping import ship
 from trawl.sources import writers
 from trawl.staging import staged
 
@@ -42,6 +43,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(s: SparkSession, d: str, name: str) -> DataFrame:
+    ship(s)
     return s.read.parquet(f"{d}/{name}.parquet")
 
 
