@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import bpe, exact_dedup, lm, packing, passages, pii, quality, repair, simhash, vector_graph
+from trawl.shipping import ship
 
 #: The id that ends a document in packed and written ids.
 END_ID = 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
