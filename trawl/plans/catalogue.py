@@ -143,7 +143,7 @@ def _(s, d):
 def _(s, d):
     def one(name, c):
         tokens = text.simple(F.col(c))
-        return table(s, d, name).select(text.has_tag(F.col(c)).cast("int").alias("h"), tokens.alias("t")).select("h", text.markup_words(F.col("t")).alias("m"), F.size("t").alias("n")).agg(F.avg("h").alias("h"), (F.sum("m") / F.sum("n")).alias("m")).select(F.lit(name).alias("source"), F.round("h", 6).alias("html"), F.round("m", 6).alias("markup"))
+        return table(s, d, name).select(text.has_tag(F.col(c)).cast("int").alias("h"), tokens.alias("t")).select("h", text.markup_words(F.col("t")).alias("m"), F.size("t").alias("n")).agg(F.avg("h").alias("h"), F.try_divide(F.sum("m"), F.sum("n")).alias("m")).select(F.lit(name).alias("source"), F.round("h", 6).alias("html"), F.round("m", 6).alias("markup"))
 
     return one("documents", "text").union(one("pages", "html"))
 
@@ -566,6 +566,55 @@ def _(s, d):
     return out.select("name", "n_topics", F.round("ndcg", 6).alias("ndcg"), place.cast("long").alias("place"))
 
 
+@query("recall_gain_by_depth", O.query(_SCORED + _CURVE, f"SELECT depth, round(recall - lag(recall) OVER (ORDER BY depth), 6) AS gain FROM ({_CURVE_SQL.format(m='recall', e='found / n_gold').replace('round(avg(x), 6)', 'avg(x)')})"))
+def _(s, d):
+    curve = evaluate.depth_curve(listed(s, d), gold(s, d), DEPTHS)  # a row for each depth
+    return curve.select(F.col("depth").cast("long").alias("depth"), F.round(F.col("recall") - F.lag("recall").over(Window.orderBy("depth")), 6).alias("gain"))
+
+
+@query("grid_spread", f"SELECT k1, round(max(ndcg) - min(ndcg), 6) AS spread, round(avg(ndcg), 6) AS mean, arg_max(b, (ndcg, -b)) AS best_b, arg_max(b, (ndcg, -b)) IN (0.4, 0.9) AS at_edge FROM ({SQL['k1_b_grid']}) GROUP BY ALL")
+def _(s, d):
+    grid = QUERIES["k1_b_grid"](s, d).groupBy("k1").agg((F.max("ndcg") - F.min("ndcg")).alias("spread"), F.avg("ndcg").alias("mean"), F.max_by("b", F.struct("ndcg", -F.col("b"))).alias("best_b"))
+    return rounded(grid, "spread", "mean").withColumn("at_edge", F.col("best_b").isin(0.4, 0.9))
+
+
+_RANKED = O.base() + O.SPLIT + [t for n, h in _SYSTEMS.items() for t in O.run(f"{n}_r", **h) + O.metrics(f"{n}_r", f"{n}_s")]
+_PART_SQL = "SELECT '{n}' AS name, '{p}' AS part, (SELECT avg(coalesce(a, 0)) FROM (SELECT DISTINCT domain FROM split) LEFT JOIN (SELECT domain, avg(ndcg) AS a FROM {n}_s JOIN split USING (domain, query_id) WHERE part = '{p}' GROUP BY ALL) USING (domain)) AS ndcg"
+
+
+@query("system_rank_by_part", O.query(_RANKED, "SELECT name, part, round(ndcg, 6) AS ndcg, rank() OVER (PARTITION BY part ORDER BY round(ndcg, 9) DESC) AS place FROM (" + " UNION ALL ".join(_PART_SQL.format(n=n, p=p) for n in _SYSTEMS for p in ("fit", "check")) + ")"))
+def _(s, d):
+    """Whether systems rank alike on both parts of a split."""
+    ix, right, split, out = index(s, d).stored(), staged(gold(s, d), "gold"), staged(stats.split_by_hash(asked(s, d)), "split"), None
+    for name, how in _SYSTEMS.items():
+        scores = staged(evaluate.per_query(listed(s, d, Weighting(**how), ix=ix), right), "scores")
+        for part in ("fit", "check"):
+            row = evaluate.restrict(scores, split, part).agg(F.avg("ndcg").alias("ndcg")).select(F.lit(name).alias("name"), F.lit(part).alias("part"), "ndcg")
+            out = row if out is None else out.union(row)
+    place = F.rank().over(Window.partitionBy("part").orderBy(F.round("ndcg", 9).desc()))
+    return out.select("name", "part", F.round("ndcg", 6).alias("ndcg"), place.cast("long").alias("place"))
+
+
+@query("headroom_collected", O.query([*O.base(), *O.run(), *O.metrics(), *O.domains(), _EXTERNAL.format(where="rank <= 100"), O.ranked("re", "SELECT domain, query_id, doc_id, score FROM ext", "score DESC, doc_id"), *O.metrics("re", "rs"), *O.domains("rs", "re", "rd")], "SELECT round((r.n - b.n) / nullif(b.c - b.n, 0), 6) AS collected FROM (SELECT avg(ndcg) AS n, avg(ceiling) AS c FROM doms) b, (SELECT avg(ndcg) AS n FROM rd) r"))
+def _(s, d):
+    run, right, scores = scored(s, d)
+    again = runs.rerank(run, _external(run, "rank <= 100"))
+    before = evaluate.macro(evaluate.by_domain(scores, right, run)).select(F.col("ndcg").alias("b"), F.col("ceiling").alias("c"))
+    after = evaluate.macro(evaluate.by_domain(evaluate.per_query(again, right), right, again)).select(F.col("ndcg").alias("a"))
+    return before.join(after).select(F.round(F.try_divide(F.col("a") - F.col("b"), F.col("c") - F.col("b")), 6).alias("collected"))
+
+
+@query("gold_consistency", O.query([O.CORPUS, O.ASKED, O.GOLD], "SELECT count(*) AS differing FROM (SELECT g.domain, g.query_id FROM gold g WHERE g.doc_id % 5 = 0 GROUP BY ALL)"))
+def _(s, d):
+    """Queries whose listed gold differs from their judgements, where every fifth document is left out of the lists."""
+    from trawl.sources.readers import gold_consistency
+
+    right = gold(s, d)
+    lists = right.where("doc_id % 5 <> 0").groupBy(*LIST).agg(F.collect_list("doc_id").alias("gold_ids"))
+    listed_gold = right.select(*LIST).distinct().join(lists, LIST, "left")
+    return gold_consistency(listed_gold, right).agg(F.count("*").alias("differing"))
+
+
 # -- systems and jobs
 
 def _context(s: SparkSession, d: str) -> pipeline.Context:
