@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm.bpe_fst import Decoder, Encoder, read_ranks
 from trawl.llm.chunks import Chunked, chunk_of, groups
+from trawl.llm.worker import begin
 
 Batches = Iterator[pa.RecordBatch]
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
@@ -36,8 +37,14 @@ def _decoder(ranks_path: str) -> Decoder:
     return Decoder(read_ranks(ranks_path))
 
 
+def _drop() -> None:
+    _encoder.cache_clear()
+    _decoder.cache_clear()
+
+
 def encode_batches(batches: Batches, ranks_path: str, pattern: str) -> Batches:
     """(doc_id, text) to (doc_id, ids as little-endian unsigned 32-bit bytes)."""
+    begin("bpe", _drop)
     chunked = _encoder(ranks_path, pattern)
     for few in groups(batches):
         yield pa.record_batch([few[0], pa.array(chunked.encode(few[1].to_pylist()), pa.binary())], schema=_ENCODED)
@@ -45,6 +52,7 @@ def encode_batches(batches: Batches, ranks_path: str, pattern: str) -> Batches:
 
 def decode_batches(batches: Batches, ranks_path: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Each batch of encoded rows with its texts."""
+    begin("bpe", _drop)
     decoder = _decoder(ranks_path)
     for few in batches:
         yield few, [decoder.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in few[1].to_pylist()]

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Chunks in each of the two generations that a worker remembers, and the longest it keeps.
-REMEMBERED = 400_000
+REMEMBERED = 350_000
 LONGEST = 48
 #: Documents that are taken together.
 TOGETHER = 512

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.chunks import groups, library_encoder
+from trawl.llm.worker import begin
 from trawl.staging import staged
 
 CAPACITY = 1024
@@ -48,6 +49,7 @@ def cut_batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id:
     """(doc_id, text) to pieces, each ranked among the task's pieces of its length."""
     from pyspark import TaskContext
 
+    begin("tokens", library_encoder.cache_clear)
     task, tokenizer, end = TaskContext.get().partitionId(), library_encoder(tokenizer_path), np.uint32(end_id).tobytes()
     ranks: dict[int, int] = defaultdict(int)
     for few in groups(batches):

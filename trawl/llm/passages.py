@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm.components import components
 from trawl.llm.hashing import CLASS, WORD, mixed, span_hashes
+from trawl.llm.worker import begin
 from trawl.staging import staged
 
 SHINGLE = 5
@@ -91,6 +92,7 @@ def _signatures(hashes: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np
 
 def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(_row, doc_id, text) to paragraphs."""
+    begin("passages")
     for batch in batches:
         rows, ids = batch[0].to_numpy(), batch[1].to_pylist()
         texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch[2].to_pylist()]
@@ -169,6 +171,7 @@ def similar(sets: list[set], similarity: float) -> np.ndarray:
 
 def _verify_batches(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
     """(band, lo, hi, h, words), sorted and with whole groups in a task, to edges."""
+    begin("passages")
     key, group, edges = None, [], []
 
     def close() -> None:

@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from trawl.llm.worker import begin
+
 #: Rated documents that are fitted on, at most.
 SAMPLE = 20_000
 DIM = 1 << 18
@@ -172,9 +174,10 @@ def train(rows: list[np.ndarray], grades: np.ndarray, top: int, dim: int = DIM,
 
 def _featured(docs: DataFrame, dim: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("quality")
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                few = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 256):
+                few = batch.slice(at, 256)
                 yield pa.record_batch([few[0], few[1], pa.array([features(t, dim) for t in few[2].to_pylist()], pa.list_(pa.int32()))], names=["doc_id", "grade", "on"])
 
     return docs.select("doc_id", "grade", "text").mapInArrow(run, "doc_id long, grade int, on array<int>")
@@ -223,10 +226,11 @@ def _scored(docs: DataFrame, model: Model, text: str = "text") -> tuple[DataFram
         schema = schema.add(m, "boolean" if m == "selected" else "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("quality")
         own = shared.value
         for batch in batches:
-            for begin in range(0, batch.num_rows, 512):
-                few = batch.slice(begin, 512)
+            for first in range(0, batch.num_rows, 256):
+                few = batch.slice(first, 256)
                 p = own.tails([features(t, len(own.weights)) for t in few[at].to_pylist()])
                 yield pa.record_batch([*few.columns, pa.array(p.sum(axis=1)), *[pa.array(c) for c in p.T], pa.array(p[:, -1] >= own.cut)], names=schema.names)
 

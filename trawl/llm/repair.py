@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.chunks import groups, library_encoder
+from trawl.llm.worker import begin
 from trawl.staging import staged
 
 MAGIC = b"REPAIR01"
@@ -180,6 +181,7 @@ def shard_batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id
     """Ordered (doc_id, text) to shards."""
     from pyspark import TaskContext
 
+    begin("tokens", library_encoder.cache_clear)
     tokenizer, end, before = library_encoder(tokenizer_path), np.uint32(end_id).tobytes(), 0
     held: list[tuple[int, bytes]] = []
     n = 0

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from trawl.llm.chunks import groups
 from trawl.llm.components import components
+from trawl.llm.worker import begin
 from trawl.staging import staged
 
 SHINGLE = 4
@@ -80,6 +81,7 @@ def fingerprints(docs: DataFrame, words_each: int = SHINGLE) -> DataFrame:
     schema = kept.drop("_text").schema.add("_fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("simhash")
         for few in groups(batches):
             codes = np.array([fingerprint(t or "", words_each) for t in few[-1].to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.record_batch([*few.columns[:-1], pa.array(codes, pa.int64())], names=schema.names)
@@ -165,6 +167,7 @@ def forest(codes: np.ndarray, route: np.ndarray, distance: int = DISTANCE) -> tu
 
 def _forest_batches(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
     """(route, lo, hi, code), sorted and with whole groups in a task, to edges."""
+    begin("simhash")
     held: list[tuple[np.ndarray, ...]] = []
     n = 0
 

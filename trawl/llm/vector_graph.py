@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trawl.llm.components import components
+from trawl.llm.worker import begin
 from trawl.staging import staged
 
 COSINE = 0.9
@@ -215,6 +216,7 @@ def _matrix(column: pa.ChunkedArray | pa.ListArray) -> np.ndarray:
 
 
 def _build_shard(table: pa.Table) -> pa.Table:
+    begin("vectors")
     table = table.sort_by("gid")
     gid = table["gid"].to_numpy()
     lists = build(unit(_matrix(table["v"])))
