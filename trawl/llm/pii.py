@@ -109,10 +109,15 @@ def disclosing(docs: DataFrame, held: DataFrame, support: int = SUPPORT, disclos
     pairs = words.select("_copies", "_of", F.explode(F.expr("array_distinct(transform(_words, x -> lower(x.m)))")).alias("term"))
     pairs = pairs.select("_copies", "term", F.explode("_of").alias("entity")).groupBy("entity", "term").agg(F.sum("_copies").alias("_nte"), F.count("*").alias("_texts"))
     pairs = staged(pairs.where(F.col("_texts") >= support).join(recurring, "entity"), "pairs")
+    total = F.lit(docs.count()).cast("double")
+    # a term that the rows with entities alone have too often can't reach the threshold, whatever the other rows hold
+    words_held = held.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term"))
+    at_least = words_held.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("_least"))
+    most = F.col("_nte") * F.pow(total / F.col("_ne"), F.lit(1 - disclosure))
+    pairs = staged(pairs.join(at_least, "term").where(F.col("_least") <= most * (1 + 1e-9)).drop("_least"), "possible-pairs")
     terms = staged(pairs.select("term").distinct(), "terms")
     seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     counts = staged(seen.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("_nt")), "term-counts")
-    total = F.lit(docs.count()).cast("double")
     pmi = F.log2(F.col("_nte") * total / (F.col("_nt") * F.col("_ne")))
     return pairs.join(counts, "term").where(pmi >= disclosure * F.log2(total / F.col("_ne"))).select("entity", "term")
 
