@@ -84,3 +84,37 @@ def test_exact_jaccard_in_both_forms():
         for _ in range(9):
             want = np.where(link[part, part], want[None, :], 9).min(axis=1)
         assert (P.similar(sets[part], 0.8) == want).all()
+
+
+def test_recall_of_exact_repeats(spark):
+    """Against brute force: every word-for-word repeat of over 50 words meets a reported passage in both texts."""
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    line = lambda n: [word() for _ in range(n)]
+    docs = [line(r.randint(60, 400)) for _ in range(40)]  # lines without a full stop
+    kinds = []
+    for k in range(0, 40, 2):
+        passage = line(51 + k % 5)
+        if k % 4 == 0:
+            passage = [w + "." * (i % 4 == 3) for i, w in enumerate(passage)]  # sentences of four words
+        kinds.append(passage)
+        for d in (docs[k], docs[k + 1]):
+            at = r.randint(0, len(d))
+            d[at:at] = passage
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    # brute force: all runs of 51 words that two documents have
+    where = {}
+    for i, d in enumerate(docs):
+        plain = [w.strip(".") for w in d]
+        for at in range(len(plain) - 50):
+            where.setdefault(" ".join(plain[at : at + 51]), []).append((i, at))
+    want = [x for v in where.values() if len({i for i, _ in v}) > 1 for x in v]
+    assert len(want) >= 40
+    got = {}
+    for x in P.repeats(table(spark, rows)).collect():
+        text = rows[x.doc_id][1]
+        first = len(text[: x.start].split())
+        got.setdefault(x.doc_id, []).append((first, first + x.n_words))
+        assert len(text[x.start : x.end].split()) == x.n_words
+    assert all(any(a < at + 51 and b > at for a, b in got.get(i, [])) for i, at in want)
+    assert set(got) == set(range(40))

@@ -50,3 +50,12 @@ def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     with np.errstate(over="ignore"):
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[data] * _powers(_POWER, len(data)))])
         return mixed((sums[last] - sums[first]) * _powers(_UNPOWER, len(data) + 1)[first])
+
+
+def run_hashes(values: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of every ``n`` neighbouring values, in their order."""
+    if len(values) < n:
+        return np.zeros(0, np.uint64)
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(_POWER, len(values)))])
+        return mixed((sums[n:] - sums[:-n]) * _powers(_UNPOWER, len(values) - n + 1))

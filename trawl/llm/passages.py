@@ -11,8 +11,17 @@ node; colliding ones are joined and verified by their exact Jaccard similarity;
 verified links form components, which are the clusters of removals. In each
 document neighbouring clustered paragraphs, with at most ``GAP`` words between
 them, make up a passage; passages of ``PASSAGE`` words or more are reported
-(the ends of a longer repeat that lie within a sentence aren't seen). The first
-occurrence of a component, by doc_id and place, is the one to keep.
+(the ends of a longer repeat that lie within a sentence, and before its first or
+after its last window, aren't seen). The first occurrence of a component, by
+doc_id and place, is the one to keep.
+
+Sentences alone miss repeats of short sentences and those within long stretches
+without full stops. So texts also have windows of ``PASSAGE`` words, wherever
+sentences end: of every ``CHOICE`` neighbouring ones that with the least hash.
+What is chosen rests on the words alone, so a word-for-word repeat of
+PASSAGE + CHOICE - 1 = 49 words or more holds a whole window that both texts
+chose. Windows are clusters by their hash; those of several documents join the
+sentences before passages are made up.
 
 A band value that more than ``HOT`` different paragraphs share is dealt out as
 pairs of blocks. A task returns a spanning forest of its links.
@@ -32,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.llm.components import components
-from trawl.llm.hashing import CLASS, WORD, mixed, span_hashes
+from trawl.llm.hashing import CLASS, WORD, mixed, run_hashes, span_hashes
 from trawl.llm.worker import begin
 from trawl.staging import staged
 
@@ -42,6 +51,8 @@ BANDS, ROWS = 5, 1
 LEAST = 8
 GAP = 8
 PASSAGE = 24
+#: Neighbouring windows of PASSAGE words of which one is chosen.
+CHOICE = 26
 HOT = 4096
 BLOCK = 2048
 #: Bytes of text that are cut together; a longer text goes alone.
@@ -90,8 +101,20 @@ def _signatures(hashes: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np
     return whole, np.column_stack(bands)
 
 
-def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(_row, doc_id, text) to paragraphs."""
+def _windows(hashes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First words of the chosen windows, and their hashes."""
+    whole = run_hashes(hashes, PASSAGE)
+    starts = np.flatnonzero(text[: max(0, len(text) - PASSAGE - CHOICE + 2)] == text[PASSAGE + CHOICE - 2 :])
+    if not len(starts):
+        return starts, whole[:0]
+    least = np.lib.stride_tricks.sliding_window_view(whole, CHOICE).argmin(axis=1)
+    chosen = np.unique(starts + least[starts])
+    return chosen, whole[chosen]
+
+
+def _unit_batches(batches: Iterator[pa.RecordBatch], windows: bool = False) -> Iterator[pa.RecordBatch]:
+    """(_row, doc_id, text) to paragraphs and, if asked for, windows (without bands and words)."""
+    names = [x.strip().split(" ")[0] for x in _UNITS.split(", ")]
     begin("passages")
     for batch in batches:
         rows, ids = batch[0].to_numpy(), batch[1].to_pylist()
@@ -110,22 +133,34 @@ def _unit_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             data = np.frombuffer(raw, np.uint8)
             text, word, n, first, last, hashes = _cut(data, begins)
+            points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+            opens = np.searchsorted(text, np.arange(len(begins)))  # each text's first word
+            if windows:
+                at_word, whole = _windows(hashes, text)
+                of = text[at_word]
+                base = points[begins[of]]
+                ids_of = pa.array([own[k] for k in of.tolist()], pa.int64())
+                yield pa.record_batch(
+                    [
+                        pa.array(here[of]), ids_of, pa.array(at_word - opens[of]), pa.array(np.full(len(of), PASSAGE)), pa.array(points[first[at_word]] - base), pa.array(points[last[at_word + PASSAGE - 1]] - base),
+                        pa.array(whole.view(np.int64)), pa.nulls(len(of), pa.list_(pa.int64())), pa.nulls(len(of), pa.binary()),
+                    ],
+                    names=names,
+                )
             long = np.flatnonzero(n >= LEAST)
             if not len(long):
                 continue
             whole, bands = _signatures(hashes, word[long], n[long])
             word, n = word[long], n[long]
             of = text[word]
-            points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
             a, b = first[word], last[word + n - 1]
-            opens = np.searchsorted(text, np.arange(len(begins)))  # each text's first word
             base = points[begins[of]]
             yield pa.record_batch(
                 [
                     pa.array(here[of]), pa.array([own[k] for k in of], pa.int64()), pa.array(word - opens[of]), pa.array(n), pa.array(points[a] - base), pa.array(points[b] - base),
                     pa.array(whole.view(np.int64)), pa.array(list(bands.view(np.int64)), pa.list_(pa.int64())), pa.array([raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)], pa.binary()),
                 ],
-                names=[x.strip().split(" ")[0] for x in _UNITS.split(", ")],
+                names=names,
             )
 
 
@@ -212,9 +247,9 @@ def links(units: DataFrame, similarity: float = SIMILARITY, hot: int = HOT, bloc
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """The paragraphs of all documents as a staged table."""
+    """The paragraphs and windows of all documents as a staged table."""
     rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return staged(rows.mapInArrow(_unit_batches, _UNITS), "paragraphs")
+    return staged(rows.mapInArrow(lambda b: _unit_batches(b, True), _UNITS), "paragraphs")
 
 
 def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage: int = PASSAGE, hot: int = HOT, block: int = BLOCK) -> DataFrame:
@@ -225,11 +260,15 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage: int = PASS
     (most that share one of its paragraphs), removed (false where its first
     paragraph is the occurrence to keep).
     """
-    units = paragraphs(docs)
+    both = paragraphs(docs)
+    units, windows = both.where("words IS NOT NULL"), both.where("words IS NULL").drop("bands", "words")
     found = staged(components(staged(links(units, similarity, hot, block), "links")), "components")
     light = units.select("_row", "doc_id", "place", "n_words", "start", "end", "h")
     named = light.join(found, light["h"] == found["node"], "left").select("_row", "doc_id", "place", "n_words", "start", "end", F.coalesce("component", "h").alias("c"))
-    named = staged(named, "named")
+    several = (F.min("doc_id") != F.max("doc_id")) | F.count("doc_id").between(1, F.count("*") - 1)
+    shared = windows.groupBy("h").agg(several.alias("_several")).where("_several").select("h")
+    common = windows.join(shared, "h", "left_semi").select(*named.columns[:-1], F.col("h").alias("c"))
+    named = staged(named.union(common), "named")
     # copies are counted on the map side; a document counts once however often it has the paragraph
     by_doc = named.groupBy("c", "doc_id").agg(F.min(F.struct("place", "_row")).alias("_at"))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_at"))
@@ -237,7 +276,7 @@ def repeats(docs: DataFrame, similarity: float = SIMILARITY, passage: int = PASS
     clusters = staged(clusters.select("c", "n", F.col("_first.doc_id").alias("first_id"), F.col("_first._at._row").alias("first_row"), F.col("_first._at.place").alias("first_place")), "clusters")
     hit = named.join(clusters, "c")
     own = Window.partitionBy("_row").orderBy("place")
-    before = F.lag(F.col("place") + F.col("n_words")).over(own)
+    before = F.max(F.col("place") + F.col("n_words")).over(own.rowsBetween(Window.unboundedPreceding, -1))  # windows overlap
     island = F.sum(F.when(F.col("place") - before <= GAP, 0).otherwise(1)).over(own)
     runs = hit.withColumn("_island", island)
     first = F.min(F.struct("place", "first_id", "first_row", "first_place", "start")).alias("_a")
