@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trawl.llm import catalogue, exact_dedup, packing, pii, quality, simhash
+from trawl.llm import catalogue, exact_dedup, near, packing, pii, quality
 from trawl.staging import staged
 
 
@@ -27,8 +27,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest doc_id."""
-    return simhash.deduplicate(docs)
+    """Of each component of SimHash links and near copies (five words, Jaccard 0.8) the document with the smallest doc_id."""
+    return near.deduplicate(docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -87,3 +87,32 @@ def test_columns_and_empty_input(spark):
         assert stage(spark, empty, "").columns == empty.columns and stage(spark, empty, "").count() == 0
     assert C.STAGES[4][1](spark, empty, "").count() == 0
     assert len(C.STAGES) == 5 and C.ORACLE_SQL is None
+
+
+def test_near_stage_drops_near_copies(spark):
+    """Against brute force: no two kept texts have Jaccard similarity 0.8 or more over five words."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    texts = [[word() for _ in range(r.randint(60, 200))] for _ in range(40)]
+    for k in range(30):
+        copy = list(texts[k])
+        for _ in range(1 + k % 6):
+            copy[r.randrange(len(copy))] = word()
+        texts.append(copy)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)] + [(100, "Two words."), (101, "two, words"), (102, None), (103, "words two")]
+    grams = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in ([w.strip(".,") for w in lower(x).split()] for _, x in docs)]
+    prints = [brute_print(t) for _, t in docs]
+    parent = list(range(len(docs)))
+    root = lambda x: x if parent[x] == x else root(parent[x])
+    missed = 0
+    for j in range(len(docs)):
+        for i in range(j):
+            close, alike = (prints[i] ^ prints[j]).bit_count() <= 4, docs[i][1] and docs[j][1] and len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j])
+            missed += bool(alike and not close)
+            if close or alike:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    assert missed > 5
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], DOCS).repartition(3)
+    got = C.near_stage(spark, table, "")
+    assert got.columns == table.columns and sorted(x.doc_id for x in got.collect()) == [d[0] for k, d in enumerate(docs) if root(k) == k]

@@ -79,7 +79,7 @@ def _cut(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, ...]:
     return text, word, np.diff(np.append(word, len(first))), first, last, hashes
 
 
-def _signatures(hashes: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _signatures(hashes: np.ndarray, word: np.ndarray, n: np.ndarray, n_bands: int = BANDS, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """For paragraphs of at least SHINGLE words: a hash of the whole, and a value for each band."""
     with np.errstate(over="ignore"):
         shingles = sum(hashes[k : len(hashes) - SHINGLE + 1 + k] * np.uint64(0x9E3779B97F4A7C15 * (2 * k + 3) & (1 << 64) - 1 | 1) for k in range(SHINGLE))
@@ -87,10 +87,10 @@ def _signatures(hashes: np.ndarray, word: np.ndarray, n: np.ndarray) -> tuple[np
         cuts = np.minimum(cuts, len(shingles))
         padded = np.append(shingles, np.uint64(0))
         bands = []
-        for b in range(BANDS):
+        for b in range(n_bands):
             value = np.zeros(len(word), np.uint64)
-            for r in range(ROWS):
-                value = mixed(value * np.uint64(31) + np.minimum.reduceat(mixed(padded + np.uint64(0xD1B54A32D192ED03 * (b * ROWS + r + 1) & (1 << 64) - 1)), cuts)[::2])
+            for r in range(rows):
+                value = mixed(value * np.uint64(31) + np.minimum.reduceat(mixed(padded + np.uint64(0xD1B54A32D192ED03 * (b * rows + r + 1) & (1 << 64) - 1)), cuts)[::2])
             bands.append(mixed(value + np.uint64(b)))
         order = np.arange(len(hashes), dtype=np.uint64)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(hashes))])

@@ -23,7 +23,7 @@ node; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -212,10 +212,11 @@ def edges(codes: DataFrame, distance: int = DISTANCE, hot: int = HOT, block: int
     return together.mapInArrow(lambda b: _forest_batches(b, distance), "a long, b long")
 
 
-def label(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(_fp, component_id) for the distinct fingerprints of (doc_id, _fp)."""
+def label(prints: DataFrame, distance: int = DISTANCE, more: DataFrame | None = None) -> DataFrame:
+    """(_fp, component_id) for the distinct fingerprints of (doc_id, _fp); ``more`` has further edges (a, b) between them."""
     codes = staged(prints.groupBy("_fp").agg(F.min("doc_id").alias("_first")), "codes")
-    found = staged(components(staged(edges(codes, distance), "links")), "components")
+    near = edges(codes, distance)
+    found = staged(components(staged(near if more is None else near.union(more), "links")), "components")
     named = codes.join(found, codes["_fp"] == found["node"]).groupBy("component").agg(F.min("_first").alias("component_id"))
     linked = found.join(named, "component").select(F.col("node").alias("_fp"), "component_id")
     alone = codes.join(found, codes["_fp"] == found["node"], "left_anti").select("_fp", F.col("_first").alias("component_id"))
@@ -228,17 +229,18 @@ def cluster(docs: DataFrame, words_each: int = SHINGLE, distance: int = DISTANCE
     return prints.join(label(prints, distance), "_fp").select("doc_id", F.lpad(F.lower(F.hex("_fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, words_each: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def deduplicate(docs: DataFrame, words_each: int = SHINGLE, distance: int = DISTANCE, more: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """The documents that stay: of each component the one with the smallest doc_id, with its columns as they were.
 
     Rows that agree in doc_id and fingerprint stand or fall together; a row
-    whose doc_id is null stays only if its component has no other.
+    whose doc_id is null stays only if its component has no other. ``more``
+    makes further edges between fingerprints from (_fp, text).
     """
     names = docs.columns
     whole = staged(fingerprints(docs, words_each).toDF(*[f"c{k}" for k in range(len(names))], "_fp"), "fingerprinted")
     own = F.col(f"c{names.index('doc_id')}")
     prints = whole.select(own.alias("doc_id"), "_fp")
-    labels = label(prints, distance)
+    labels = label(prints, distance, more and more(whole.select("_fp", F.col(f"c{names.index('text')}").alias("text"))))
     out = prints.join(labels, "_fp").where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "_fp").distinct()
     out = staged(out, "dropped").withColumnRenamed("_fp", "_gone")
     stays = whole.join(out, (own.eqNullSafe(out["doc_id"])) & (whole["_fp"] == out["_gone"]), "left_anti")
