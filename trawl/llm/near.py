@@ -28,7 +28,8 @@ from trawl.staging import staged
 BANDS, ROWS = 8, 2
 SIMILARITY = 0.8
 
-_TEXTS = "_fp long, h long, bands array<long>, words binary"
+_BANDS = passages.band_names(BANDS)
+_TEXTS = ", ".join(["_fp long", "h long", *[f"{b} long" for b in _BANDS], "words binary"])
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,16 +49,14 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 for k in range(passages.SHINGLE - 1):
                     few = np.flatnonzero((n > k) & (n < passages.SHINGLE))
                     whole[few] = mixed(whole[few] * np.uint64(31) + hashes[word[few] + k])
-            bands: list[list[int]] = [[] for _ in texts]
+            bands: np.ndarray = np.repeat(whole[:, None], BANDS, axis=1)  # a text of few words meets itself only
             long = np.flatnonzero(n >= passages.SHINGLE)
             if len(long):
-                whole[long], values = passages._signatures(hashes, word[long], n[long], BANDS, ROWS)
-                for k, v in zip(long.tolist(), values.view(np.int64).tolist(), strict=True):
-                    bands[k] = v
+                whole[long], bands[long] = passages._signatures(hashes, word[long], n[long], BANDS, ROWS)
             some = np.flatnonzero(n)
             yield pa.record_batch(
-                [batch[0].slice(start, len(texts)).take(pa.array(some)), pa.array(whole[some].view(np.int64)), pa.array([bands[k] for k in some], pa.list_(pa.int64())), pa.array([texts[k] for k in some], pa.binary())],
-                names=["_fp", "h", "bands", "words"],
+                [batch[0].slice(start, len(texts)).take(pa.array(some)), pa.array(whole[some].view(np.int64)), *[pa.array(b) for b in np.ascontiguousarray(bands[some].T).view(np.int64)], pa.array([texts[k] for k in some], pa.binary())],
+                names=["_fp", "h", *_BANDS, "words"],
             )
 
 
@@ -66,7 +65,7 @@ def links(prints: DataFrame) -> DataFrame:
     texts = staged(prints.select("_fp", "text").mapInArrow(_text_batches, _TEXTS), "texts-by-words")
     named = staged(texts.groupBy("h").agg(F.min("_fp").alias("f"), F.max("_fp").alias("l")), "first-prints")
     same = texts.select("_fp", "h").join(named.where("f != l"), "h").select(F.col("_fp").alias("a"), F.col("f").alias("b"))
-    near = staged(passages.links(texts, SIMILARITY), "near-texts")
+    near = staged(passages.links(passages.collisions(texts.select("h", *_BANDS).distinct()), texts.select("h", "words"), SIMILARITY), "near-texts")
     near = near.join(named.select(F.col("h").alias("a"), F.col("f").alias("fa")), "a").join(named.select(F.col("h").alias("b"), F.col("f").alias("fb")), "b")
     return same.union(near.select("fa", "fb")).where("a != b").distinct()
 
