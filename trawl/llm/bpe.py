@@ -47,7 +47,9 @@ def encode_batches(batches: Batches, ranks_path: str, pattern: str) -> Batches:
     begin("bpe", _drop)
     chunked = _encoder(ranks_path, pattern)
     for few in groups(batches):
-        yield pa.record_batch([few[0], pa.array(chunked.encode(few[1].to_pylist()), pa.binary())], schema=_ENCODED)
+        flat, at = chunked.flat(few[1])
+        raw, at = flat.tobytes(), (4 * at).tolist()
+        yield pa.record_batch([few[0], pa.array([raw[i:j] for i, j in zip(at, at[1:], strict=False)], pa.binary())], schema=_ENCODED)
 
 
 def decode_batches(batches: Batches, ranks_path: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -85,15 +87,17 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Batches) -> Batches:
         decimal = [str(i) for i in range(max(read_ranks(ranks_path).values()) + 1)]
-        for few, texts in decode_batches(encode_batches(batches, ranks_path, pattern), ranks_path):
-            ids = [np.frombuffer(x, dtype="<u4").tolist() for x in few[1].to_pylist()]
+        begin("bpe", _drop)
+        chunked, decoder = _encoder(ranks_path, pattern), _decoder(ranks_path)
+        for few in groups(batches):
+            flat, at = chunked.flat(few[1])
+            # a document's list of ids lives no longer than its digests
+            digests = []
+            for i, j in zip(at.tolist(), at.tolist()[1:], strict=False):
+                ids = flat[i:j].tolist()
+                digests.append((len(ids), sha(",".join(map(decimal.__getitem__, ids)).encode()), sha(decoder.decode(ids).encode())))
             yield pa.record_batch(
-                [
-                    few[0],
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([sha(",".join(map(decimal.__getitem__, x)).encode()) for x in ids], pa.string()),
-                    pa.array([sha(t.encode()) for t in texts], pa.string()),
-                ],
+                [few[0], *[pa.array(c, k) for c, k in zip(zip(*digests, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 

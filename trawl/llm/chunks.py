@@ -12,25 +12,35 @@ cut only before single spaces.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks in each of the two generations that a worker remembers, and the longest it keeps.
 REMEMBERED = 350_000
 LONGEST = 48
-#: Documents that are taken together.
-TOGETHER = 512
+#: Documents that are taken together, and characters of text, about.
+TOGETHER = 4096
+CHARACTERS = 1 << 23
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
 #: Marks a key whose chunk is what follows it; the chunk of another key is a space and the key.
 _RAW = "\x01"
 # white space of Unicode and Python other than space and line feed, and the mark
 _OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\x01]")
-_SPACES = re.compile("\\s")
 _STOP = re.compile("([.,])(?<=[A-Za-z0-9À-ÖØ-öø-ÿ][.,])(?=[ \n])")
+# the same for Arrow's matcher, which looks neither back nor ahead; what it takes in never is what the next match begins with
+_STOPS = "([A-Za-z0-9À-ÖØ-öø-ÿ])([.,])([ \n])"
+#: Latin letters alone, after the mark or not.
+_LETTERS = re.compile(f"{_RAW}?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+#: How many bytes are written as their own character.
+_PRINTED = 188
+#: Where ``keys_of`` has to look closely.
+_ODD = "  |\n\n| \n|\n |" + _OTHER.pattern
 
 
 def keys_of(text: str) -> list[str]:
@@ -54,24 +64,66 @@ class Chunked:
         self.seen: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def values(self, keys: list[str]) -> list[bytes]:
+        """The ids of different keys."""
         if len(self.seen) > REMEMBERED:
             self.seen, self.older = {}, self.seen
-        cut = [keys_of(t) for t in texts]
-        missing = list(set().union(*cut).difference(self.seen))
-        if missing and self.older:
-            older = self.older
-            self.seen.update((k, older[k]) for k in missing if k in older)
-            missing = [k for k in missing if k not in older]
-        if missing:
-            self.seen.update(zip(missing, self.encode_keys(missing), strict=True))
-        get = self.seen.__getitem__
-        out = [b"".join(map(get, keys)) for keys in cut]
-        for key in missing:
-            if len(key) > LONGEST:
-                del self.seen[key]
+        seen, older = self.seen, self.older
+        out = list(map(seen.get, keys))
+        new, at = [], -1
+        while True:
+            try:
+                at = out.index(None, at + 1)
+            except ValueError:
+                break
+            if (found := older.get(keys[at])) is None:
+                new.append(at)
+            else:
+                out[at] = seen[keys[at]] = found
+        missing = [keys[k] for k in new]
+        for k, key, ids in zip(new, missing, self.encode_keys(missing) if missing else [], strict=True):
+            out[k] = ids
+            if len(key) <= LONGEST:
+                seen[key] = ids
         return out
 
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin, and their number."""
+        texts = texts.fill_null("")
+        lists = _cut_lists(texts)
+        keys = lists.flatten().dictionary_encode()
+        found = pa.array(self.values(keys.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(keys.indices)
+        ends = np.frombuffer(found.buffers()[1], "<i8", len(found) + 1, found.offset * 8)
+        ids = np.frombuffer(found.buffers()[2] or b"", "<u4", int(ends[-1]) // 4)
+        return ids, ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])] // 4
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        ids, at = self.flat(pa.array(texts, pa.string()))
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+
+
+def _cut_lists(texts: pa.Array) -> pa.ListArray:
+    """The keys of each text: ``keys_of`` for many at once."""
+    odd = pc.match_substring_regex(texts, _ODD)
+    whole = pc.replace_substring_regex(pc.if_else(odd, "", texts), _STOPS, "\\1 \x01\\2\\3")
+    whole = pc.binary_join_element_wise("\x01", pc.replace_substring(whole, "\n", " \x01\n \x01"), "")
+    lists = pc.split_pattern(whole, " ")
+    if not pc.any(odd).as_py():
+        return lists
+    # white space of other kinds: as defined, one by one
+    number = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    others = pa.array([keys_of(t) for t in texts.take(pa.array(number)).to_pylist()], lists.type)
+    place = np.arange(len(texts))
+    place[number] = len(texts) + np.arange(len(number))
+    return pa.concat_arrays([lists, others]).take(pa.array(place))
+
+
+def _byte_order() -> list[int]:
+    """Bytes that byte-level vocabularies write as their own character, then the others."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return own + [b for b in range(256) if b not in own]
+
 
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> Chunked:
@@ -83,40 +135,38 @@ def library_encoder(path: str) -> Chunked:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    opens = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True) + 1, dtype=bool)
-    for token, i in tokenizer.get_vocab(with_added_tokens=True).items():
-        opens[i] = token.startswith("Ġ")  # how byte-level vocabularies write a space
-
-    def ids(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, dtype="<u4") for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    feed = tokenizer.token_to_id("Ċ")  # and a line feed
-
-    def split(text: str, keys: list[str], opening: bool) -> dict[str, bytes]:
-        """Ids of many chunks as one text: each opens with a space, or a line feed stands between any two."""
-        if not keys:
-            return {}
-        together = ids([text])[0]
-        starts = np.flatnonzero(opens[together] if opening else together == feed)
-        ends = np.append(starts[1:], len(together)) if opening else np.append(starts, len(together))
-        starts = starts if opening else np.append(0, starts + 1)
-        assert len(starts) == len(keys)
-        raw = together.tobytes()
-        return {k: raw[4 * a : 4 * b] for k, a, b in zip(keys, starts.tolist(), ends.tolist(), strict=True)}
+    tokenize = tokenizer.model.tokenize
+    #: how byte-level vocabularies write a byte, by the character of its number
+    written = {b: c for b, c in zip(_byte_order(), [chr(k) for k in _byte_order()[:_PRINTED]] + [chr(256 + k) for k in range(256 - _PRINTED)], strict=True)}
 
     def encode(keys: list[str]) -> list[bytes]:
-        spaced = [k for k in keys if k and k[0] != _RAW and not _SPACES.search(k)]
-        plain = [k for k in keys if k[:1] == _RAW and len(k) > 1 and not _SPACES.search(k)]
-        found = split(" " + " ".join(spaced), spaced, True) | split("\n".join(k[1:] for k in plain), plain, False)
-        rest = [k for k in keys if k not in found]
-        found.update((k, x.tobytes()) for k, x in zip(rest, ids([chunk_of(k) for k in rest]), strict=True))
-        return [found[k] for k in keys]
+        found: list[bytes] = []
+        rest: list[int] = []
+        for k, key in enumerate(keys):
+            # Latin letters, with their space if they have one, are one match of the pattern: the library's model alone
+            if _LETTERS(key):
+                word = "Ġ" + key if key[0] != _RAW else key[1:]
+                if not key.isascii():
+                    word = chunk_of(key).encode().decode("latin-1").translate(written)
+                found.append(array("I", [t.id for t in tokenize(word)]).tobytes())
+            else:
+                found.append(b"")
+                rest.append(k)
+        if rest:
+            for k, x in zip(rest, tokenizer.encode_batch_fast([chunk_of(keys[k]) for k in rest], add_special_tokens=False), strict=True):
+                found[k] = np.array(x.ids, dtype="<u4").tobytes()
+        return found
 
     return Chunked(encode)
 
 
-def groups(batches: Iterable[pa.RecordBatch], size: int = TOGETHER) -> Iterator[pa.RecordBatch]:
-    """The same rows, a few at a time."""
+def groups(batches: Iterable[pa.RecordBatch], size: int = TOGETHER, characters: int = CHARACTERS, text: int = -1) -> Iterator[pa.RecordBatch]:
+    """The same rows, a few at a time, by number and by the length of the column ``text``; a longer text goes alone."""
     for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            yield batch.slice(at, size)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+        at = 0
+        while at < batch.num_rows:
+            before = ends[at - 1] if at else 0
+            to = min(at + size, max(at + 1, int(np.searchsorted(ends, before + characters, "right"))))
+            yield batch.slice(at, to - at)
+            at = to

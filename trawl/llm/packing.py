@@ -51,17 +51,27 @@ def cut_batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id:
 
     begin("tokens", library_encoder.cache_clear)
     task, tokenizer, end = TaskContext.get().partitionId(), library_encoder(tokenizer_path), np.uint32(end_id).tobytes()
-    ranks: dict[int, int] = defaultdict(int)
+    ranks = np.zeros(capacity + 1, np.int64)
+    names = [x.split(" ")[0] for x in _PIECES.split(", ")]
     for few in groups(batches):
-        rows = []
-        for doc_id, ids in zip(few[0].to_pylist(), tokenizer.encode(few[1].to_pylist()), strict=True):
-            ids += end
-            for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                rows.append((doc_id, piece, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), task, ranks[length]))
-                ranks[length] += 1
-        kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 3, pa.int32(), pa.int64()]
-        names = [x.split(" ")[0] for x in _PIECES.split(", ")]
-        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        ids, at = tokenizer.flat(few[1])
+        raw, edges = memoryview(ids).cast("B"), (4 * at).tolist()
+        total = np.diff(at) + 1
+        number = -(-total // capacity)
+        doc = np.repeat(np.arange(len(total)), number)
+        piece = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+        first = np.where(number > 1, (total - 1) % capacity + 1, total)
+        start = np.where(piece > 0, first[doc] + (piece - 1) * capacity, 0)
+        length = np.where(piece > 0, capacity, first[doc])
+        crc = np.zeros(len(doc), np.int64)
+        for k, (i, j, n) in enumerate(zip((4 * (at[doc] + start)).tolist(), (4 * (at[doc] + start + length)).tolist(), doc.tolist(), strict=True)):
+            crc[k] = zlib.crc32(raw[i:j]) if j <= edges[n + 1] else zlib.crc32(end, zlib.crc32(raw[i : edges[n + 1]]))
+        order = np.argsort(length, kind="stable")
+        on, opens, times = np.unique(length[order], return_index=True, return_counts=True)
+        rank = np.empty(len(doc), np.int64)
+        rank[order] = np.arange(len(doc)) - np.repeat(opens, times) + np.repeat(ranks[on], times)
+        ranks[on] += times
+        yield pa.record_batch([few[0].take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(doc), task), pa.int32()), pa.array(rank)], names=names)
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, max_docs: int = CAPACITY, max_cost: int = CAPACITY**2, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.1, 0.1)) -> list[tuple[int, int, int, int, int, int]]:

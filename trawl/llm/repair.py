@@ -4,7 +4,9 @@ Documents go in ascending ``doc_id`` order. A shard holds whole documents, at
 least ``SHARD`` ids of them (the last of a task fewer). Within a shard frequent
 pairs of ids are replaced by nonterminals, again and again: each round counts
 the pairs, gives the frequent ones a rule, and replaces their occurrences from
-left to right. No rule spans two documents. A shard is one row of a Parquet
+left to right. By default rounds end when they save little (``ROUNDS``,
+``LEAST_SAVING``, ``FREQUENT``), as this is a trade of time for size; ``rounds``
+None goes on until no frequent pair is left. No rule spans two documents. A shard is one row of a Parquet
 table, whose commit protocol covers lost executors; its ``payload`` is
 
     8 bytes   b"REPAIR01"
@@ -16,7 +18,10 @@ table, whose commit protocol covers lost executors; its ``payload`` is
     symbols   little-endian, with so many bytes each
 
 Edge cases: a null or empty text is its end id alone; rows with equal doc_id
-are ordered by text; a null ``doc_id`` comes first; an empty table gives none.
+are ordered by text; a null ``doc_id`` comes first; an empty table gives none;
+a document longer than ``SHARD`` is a shard of its own, in memory that its own
+length sets; columns of other names than ``doc_id`` and ``text`` are not looked
+at.
 """
 
 from __future__ import annotations
@@ -24,6 +29,7 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -48,9 +54,16 @@ _SHARDS = "_task int, _before long, n_ids long, payload binary"
 _ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def _round(seq: np.ndarray, closes: np.ndarray, frequent: int, most: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Replace frequent pairs, the i-th by ``first`` + i: their left and right symbols, the new sequence, and which positions stay."""
+def _round(seq: np.ndarray, closes: np.ndarray, frequent: int, most: int, first: int, exact: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Replace frequent pairs, the i-th by ``first`` + i: their left and right symbols, the new sequence, and which positions stay.
+
+    With ``exact`` each pair is counted on its own; otherwise in a table of 2**20 places.
+    """
     left, right = seq[:-1], seq[1:]
+    if exact:
+        at = np.flatnonzero(~closes[left])
+        one, place = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_inverse=True)
+        return _replaced(seq, at, place, one, frequent, most, first)
     place = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BITS)
     counts = np.bincount(place, minlength=1 << _BITS)
     # what falls in a rarely hit place of the small table can't be frequent; of pairs that share a place one is looked at
@@ -59,11 +72,15 @@ def _round(seq: np.ndarray, closes: np.ndarray, frequent: int, most: int, first:
     one = np.zeros(1 << _BITS, np.uint64)
     one[place] = key
     own = one[place] == key
-    at, place = at[own], place[own]
-    counts = np.bincount(place, minlength=1 << _BITS)
+    return _replaced(seq, at[own], place[own], one, frequent, most, first)
+
+
+def _replaced(seq: np.ndarray, at: np.ndarray, place: np.ndarray, one: np.ndarray, frequent: int, most: int, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``_round`` for pairs that begin at ``at`` and are numbered ``place`` in ``one``."""
+    counts = np.bincount(place, minlength=len(one))
     hit = np.flatnonzero(counts >= frequent)
     best = hit[np.argsort(-counts[hit], kind="stable")[:most]]
-    rule = np.full(1 << _BITS, -1, np.int32)
+    rule = np.full(len(one), -1, np.int32)
     rule[best] = np.arange(len(best))
     mine = rule[place]
     at, mine = at[mine >= 0], mine[mine >= 0]
@@ -78,8 +95,11 @@ def _round(seq: np.ndarray, closes: np.ndarray, frequent: int, most: int, first:
     return (pairs >> np.uint64(32)).astype(np.uint32), (pairs & np.uint64(0xFFFFFFFF)).astype(np.uint32), out[stays], stays
 
 
-def compress(ids: np.ndarray, doc_ids: list[int], sizes: list[int], end_id: int, frequent: int = FREQUENT, rounds: int = ROUNDS) -> bytes:
-    """A shard's payload. ``ids``: the documents' ids, each document with its end id last."""
+def compress(ids: np.ndarray, doc_ids: list[int], sizes: list[int], end_id: int, frequent: int = FREQUENT, rounds: int | None = ROUNDS) -> bytes:
+    """A shard's payload. ``ids``: the documents' ids, each document with its end id last.
+
+    ``rounds`` None goes on until no pair that may have a rule occurs ``frequent`` times (2 at least), by exact counts.
+    """
     seq = ids.astype(np.uint32)
     first = base = int(seq.max()) + 1
     closes = np.zeros(base, dtype=bool)
@@ -88,17 +108,17 @@ def compress(ids: np.ndarray, doc_ids: list[int], sizes: list[int], end_id: int,
     begins[np.cumsum([0, *sizes[:-1]])] = True
     # an end id may also be a text's own; no pair spans documents all the same
     left, right, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)], np.ones(base, dtype=np.uint32)
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         if len(seq) < 2:
             break
         before = len(seq)
-        a, b, seq, stays = _round(seq, closes, frequent, NEW_RULES, first)
+        a, b, seq, stays = _round(seq, closes, max(2, frequent), NEW_RULES, first, rounds is None)
         if not len(a):
             break
         begins = begins[stays]
         closes, lengths = np.r_[closes, closes[b]], np.r_[lengths, lengths[a] + lengths[b]]
         left, right, first = [*left, a], [*right, b], first + len(a)
-        if len(seq) > before * (1 - LEAST_SAVING):
+        if rounds is not None and len(seq) > before * (1 - LEAST_SAVING):
             break
     a, b = np.concatenate(left), np.concatenate(right)
     width = 2 if first <= 1 << 16 else 3 if first <= 1 << 24 else 4
@@ -177,25 +197,32 @@ class Shard:
         return self.expand(symbols[a:b])[start - begin : stop - begin]
 
 
-def shard_batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int, size: int) -> Iterator[pa.RecordBatch]:
+def shard_batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id: int, size: int, frequent: int = FREQUENT, rounds: int | None = ROUNDS) -> Iterator[pa.RecordBatch]:
     """Ordered (doc_id, text) to shards."""
     from pyspark import TaskContext
 
     begin("tokens", library_encoder.cache_clear)
-    tokenizer, end, before = library_encoder(tokenizer_path), np.uint32(end_id).tobytes(), 0
-    held: list[tuple[int, bytes]] = []
+    tokenizer, before = library_encoder(tokenizer_path), 0
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     n = 0
 
     def close() -> pa.RecordBatch:
-        payload = compress(np.frombuffer(b"".join(x for _, x in held), "<u4"), [d for d, _ in held], [len(x) // 4 for _, x in held], end_id)
+        ids, docs, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        row = [TaskContext.get().partitionId(), before, n, payload]
+        row = [TaskContext.get().partitionId(), before, n, compress(ids, docs.tolist(), sizes.tolist(), end_id, frequent, rounds)]
         return pa.record_batch([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["_task", "_before", "n_ids", "payload"])
 
     for few in groups(batches):
-        for doc_id, ids in zip(few[0].to_pylist(), tokenizer.encode(few[1].to_pylist()), strict=True):
-            held.append((_NULL if doc_id is None else doc_id, ids + end))
-            n += len(ids) // 4 + 1
+        ids, at = tokenizer.flat(few[1])
+        ids, docs = np.insert(ids, at[1:], end_id), few[0].fill_null(_NULL).to_numpy()
+        ends = at[1:] + np.arange(1, len(at))
+        k = 0
+        while k < len(docs):
+            begins = int(ends[k - 1]) if k else 0
+            to = min(len(docs), int(np.searchsorted(ends, begins + size - n)) + 1)
+            held.append((ids[begins : ends[to - 1]], docs[k:to], np.diff(ends[k:to], prepend=begins)))
+            n += len(held[-1][0])
+            k = to
             if n >= size:
                 yield close()
                 held, n, before = [], 0, before + n
@@ -203,11 +230,11 @@ def shard_batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id
         yield close()
 
 
-def write(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SHARD) -> DataFrame:
+def write(docs: DataFrame, tokenizer_path: str, end_id: int, size: int = SHARD, frequent: int = FREQUENT, rounds: int | None = ROUNDS) -> DataFrame:
     """The shards of ``docs`` as a written table: _task, _before (ids before it in the task), n_ids, payload."""
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return staged(ordered.mapInArrow(lambda b: shard_batches(b, tokenizer_path, end_id, size), _SHARDS), "shards")
+    return staged(ordered.mapInArrow(lambda b: shard_batches(b, tokenizer_path, end_id, size, frequent, rounds), _SHARDS), "shards")
 
 
 def read(shards: DataFrame) -> DataFrame:
