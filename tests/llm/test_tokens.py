@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 from hashlib import sha256
@@ -107,24 +108,46 @@ def test_packing(spark, how):
     assert packing.pack(frame(spark, []), P.path("byte_bpe_50k.json"), 2).count() == 0
 
 
-def naive_plan(lengths, capacity, max_docs, max_cost):
+def naive_plan(lengths, capacity, max_docs, tile, weights):
+    """Piece by piece into the bin with the smallest weighted residual norm; the bins' lengths."""
+    ask = lambda n: (n, 1, math.ceil(n / tile) ** 2)
+    limits = (capacity, max_docs, math.ceil(capacity / tile) ** 2)
     bins = []
     for n in sorted(lengths, reverse=True):
-        ok = [b for b in bins if b[0] + n <= capacity and b[1] < max_docs and b[2] + n * n <= max_cost]
-        best = max(ok, key=lambda b: b[0], default=None)
+        ok = [b for b in bins if all(r >= a for r, a in zip(b[0], ask(n), strict=True))]
+        norm = lambda b: sum(w * ((r - a) / c) ** 2 for w, a, r, c in zip(weights, ask(n), b[0], limits, strict=True))  # noqa: B023, E731
+        best = min(ok, key=lambda b: (norm(b), b[0]), default=None)
         if best is None:
-            bins.append(best := [0, 0, 0])
-        best[0], best[1], best[2] = best[0] + n, best[1] + 1, best[2] + n * n
-    return len(bins)
+            bins.append(best := [limits, []])
+        t, d, c = (r - a for r, a in zip(best[0], ask(n), strict=True))
+        best[0] = (t, min(d, t), min(c, max(t, (t + tile - 1) ** 2 // tile**2) + t))  # more can't be used
+        best[1].append(n)
+    return sorted(sorted(x) for _, x in bins)
 
 
-def test_plan_is_best_fit():
+def planned(rules):
+    bins = {}
+    for length, _, n, each, first, _ in rules:
+        for k in range(n):
+            bins.setdefault(first + k // each, []).append(length)
+    return sorted(sorted(x) for x in bins.values())
+
+
+def test_plan_is_vector_best_fit():
     r = random.Random(4)
-    for _ in range(30):
-        lengths = [r.randint(1, 100) for _ in range(r.randint(1, 300))]
+    differs = 0
+    for _ in range(40):
+        top = r.choice([10, 40, 100])
+        lengths = [min(100, r.randint(1, top) + r.choice([0, 0, 80])) for _ in range(r.randint(1, 300))]
         histogram = {n: lengths.count(n) for n in set(lengths)}
-        rules = packing.plan(histogram, 100, 100, 100**2)
-        assert len({q for *_, n, each, first, _ in rules for q in range(first, first - (-n // each))}) <= naive_plan(lengths, 100, 100, 10**4) + 1
+        docs, tile, weights = r.choice([4, 8, 16]), r.choice([4, 10]), r.choice([packing.WEIGHTS, (1.0, 1.0, 1.0)])
+        bins = planned(packing.plan(histogram, 100, docs, None, tile, "norm", weights))
+        assert bins == naive_plan(lengths, 100, docs, tile, weights)
+        assert all(len(b) <= docs and sum(math.ceil(n / tile) ** 2 for n in b) <= math.ceil(100 / tile) ** 2 for b in bins)
+        differs += bins != planned(packing.plan(histogram, 100, 100, 100**2, 1, "norm", (1.0, 0.0, 0.0)))
+    assert differs > 10  # the capacities bind
+
+
     with pytest.raises(ValueError):
         packing.plan({10: 1}, 100, 100, 50)
 

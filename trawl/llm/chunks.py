@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks in each of the two generations that a worker remembers, and the longest it keeps.
-REMEMBERED = 350_000
+REMEMBERED = 450_000
 LONGEST = 48
 #: Documents that are taken together, and characters of text, about.
 TOGETHER = 4096

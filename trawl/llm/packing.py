@@ -1,22 +1,29 @@
 """Vector best-fit packing of documents into sequences.
 
-A piece asks for its tokens, one document slot, and its attention cost (length
-squared). A sequence has a capacity for each. Pieces go in order of decreasing
-length, each into the open sequence that fits best: the one whose weighted
-residual norm after placing is smallest (``norm``), or whose residual has the
-largest weighted dot product with the piece (``dot``), among those where no
-capacity is exceeded.
+A piece asks for its tokens, one document slot, and its attention cost: the
+``TILE`` x ``TILE`` tiles of its own attention square. A sequence has a
+capacity for each: ``CAPACITY`` tokens, ``MAX_DOCS`` documents, and as many
+tiles as one full piece has. (All three bind: many short documents run out of
+slots, and a piece that ends just within its last tile leaves no tile for
+another.) Pieces go in order of decreasing length, each into the open sequence
+that fits best: the one whose weighted residual norm after placing is smallest
+(``norm``), or whose residual has the largest weighted dot product with the
+piece (``dot``), among those where no capacity is exceeded. Of equal worth, the
+smallest residual goes first.
 
 Pieces of one length are alike. So the placing runs over a histogram of at
 most ``capacity`` lengths, and sequences in the same state are placed into
 together; what it costs does not grow with the input. The result is a small
-table of rules: the pieces of length L ranked a to b go to these sequences at
-that offset. Every piece has a rank among those of its length, from counts by
-task, and looks up its rule in a broadcast of a bounded size.
+table of rules (bounded by lengths times states; some thousands): the pieces
+of length L ranked a to b go to these sequences at that offset. Every piece has
+a rank among those of its length, from counts by task, and looks up its rule in
+a broadcast of that size.
 
 Edge cases: a null or empty text is its end id alone; a document longer than
 the capacity is cut so that only its first piece may be shorter; an empty
-table gives an empty result; repeated rows are packed each.
+table gives an empty result; repeated rows are packed each; a very long text is
+encoded alone, in memory that its own length sets; columns of other names than
+``doc_id`` and ``text`` are not looked at.
 """
 
 from __future__ import annotations
@@ -35,10 +42,20 @@ from trawl.llm.worker import begin
 from trawl.staging import staged
 
 CAPACITY = 1024
+MAX_DOCS = 64
+#: Tokens on a side of an attention tile.
+TILE = 16
+#: What the norms and products weigh tokens, documents and cost with.
+WEIGHTS = (1.0, 0.1, 0.1)
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, _task int, _rank long"
 _RULES = "_length long, _from long, _count long, _each long, _sequence long, _offset long"
 
 
+def cost(length: int, tile: int = TILE) -> int:
+    """Tiles of attention that a piece of ``length`` tokens asks for."""
+    return (-(-length // tile)) ** 2
+
+
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:
     """Starts and lengths of the pieces of a document of ``total`` ids."""
     first = total % capacity or capacity
@@ -74,9 +91,14 @@ def cut_batches(batches: Iterator[pa.RecordBatch], tokenizer_path: str, end_id:
         yield pa.record_batch([few[0].take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc), pa.array(np.full(len(doc), task), pa.int32()), pa.array(rank)], names=names)
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, max_docs: int = CAPACITY, max_cost: int = CAPACITY**2, rule: str = "norm", weights: tuple[float, float, float] = (1.0, 0.1, 0.1)) -> list[tuple[int, int, int, int, int, int]]:
-    """Rules (length, first rank, count, pieces per sequence, first sequence, offset) for a histogram of lengths."""
-    limits = (capacity, max_docs, max_cost)
+def plan(
+    histogram: dict[int, int], capacity: int = CAPACITY, max_docs: int = MAX_DOCS, max_cost: int | None = None, tile: int = TILE, rule: str = "norm", weights: tuple[float, float, float] = WEIGHTS
+) -> list[tuple[int, int, int, int, int, int]]:
+    """Rules (length, first rank, count, pieces per sequence, first sequence, offset) for a histogram of lengths.
+
+    ``max_cost`` is that of one full piece if it isn't given.
+    """
+    limits = (capacity, max_docs, max_cost or cost(capacity, tile))
     #: sequences by residual, as ranges of their numbers; what can't matter is clipped, so that few residuals differ
     open_: dict[tuple[int, int, int], list[list[int]]] = defaultdict(list)
     rules: list[tuple[int, int, int, int, int, int]] = []
@@ -84,13 +106,14 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, max_docs: int = CA
 
     def after(residual: tuple[int, int, int], length: int, n: int) -> tuple[int, int, int]:
         t = residual[0] - n * length
-        return t, min(residual[1] - n, t), min(residual[2] - n * length * length, t * t)
+        # pieces of t tokens together have at most so many documents and tiles
+        return t, min(residual[1] - n, t), min(residual[2] - n * cost(length, tile), max(t, (t + tile - 1) ** 2 // tile**2) + t)
 
     def fits(residual: tuple[int, int, int], length: int) -> int:
-        return min(residual[0] // length, residual[1], residual[2] // (length * length))
+        return min(residual[0] // length, residual[1], residual[2] // cost(length, tile))
 
     def worth(residual: tuple[int, int, int], length: int) -> float:
-        asked = (length, 1, length * length)
+        asked = (length, 1, cost(length, tile))
         if rule == "dot":
             return -sum(w * a * r / c / c for w, a, r, c in zip(weights, asked, residual, limits, strict=True))
         return sum(w * ((r - a) / c) ** 2 for w, a, r, c in zip(weights, asked, residual, limits, strict=True))
@@ -104,7 +127,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, max_docs: int = CA
             if got and count and min(left) > 0:
                 open_[left].append([at, at + count])
 
-    whole = after((capacity, max_docs, max_cost), 0, 0)
+    whole = limits
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
         if not fits(whole, length):
@@ -135,12 +158,12 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CA
     return staged(texts.mapInArrow(lambda b: cut_batches(b, tokenizer_path, end_id, capacity), _PIECES), "pieces")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, max_docs: int | None = None, max_cost: int | None = None, rule: str = "norm") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, max_docs: int = MAX_DOCS, max_cost: int | None = None, tile: int = TILE, rule: str = "norm") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of ``docs``."""
     spark, cuts = docs.sparkSession, pieces(docs, tokenizer_path, end_id, capacity)
     counts = staged(cuts.groupBy("_task", "length").agg(F.count("*").alias("_n")), "lengths")
     histogram = {r["length"]: r["_n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("_n")).collect()}  # at most `capacity` rows
-    rules = plan(histogram, capacity, max_docs or capacity, max_cost or capacity**2, rule)
+    rules = plan(histogram, capacity, max_docs, max_cost, tile, rule)
     before = Window.partitionBy("length").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("_task", "length", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     ranked = cuts.join(bases, ["_task", "length"]).withColumn("_at", F.col("_base") + F.col("_rank"))

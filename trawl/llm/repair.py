@@ -64,7 +64,7 @@ def _round(seq: np.ndarray, closes: np.ndarray, frequent: int, most: int, first:
         at = np.flatnonzero(~closes[left])
         one, place = np.unique(left[at].astype(np.uint64) << np.uint64(32) | right[at], return_inverse=True)
         return _replaced(seq, at, place, one, frequent, most, first)
-    place = (left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BITS)
+    place = ((left * np.uint32(0x9E3779B1) ^ right * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BITS)).astype(np.intp)
     counts = np.bincount(place, minlength=1 << _BITS)
     # what falls in a rarely hit place of the small table can't be frequent; of pairs that share a place one is looked at
     at = np.flatnonzero((counts >= frequent)[place] & ~closes[left])
@@ -83,11 +83,13 @@ def _replaced(seq: np.ndarray, at: np.ndarray, place: np.ndarray, one: np.ndarra
     rule = np.full(len(one), -1, np.int32)
     rule[best] = np.arange(len(best))
     mine = rule[place]
-    at, mine = at[mine >= 0], mine[mine >= 0]
+    some = np.flatnonzero(mine >= 0)
+    at, mine = at[some], mine[some]
     # of pairs that overlap in a run, every other one
     opens = np.diff(at, prepend=-2) > 1
     since = np.arange(len(at)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]
-    at, mine = at[since % 2 == 0], mine[since % 2 == 0]
+    some = np.flatnonzero(since % 2 == 0)
+    at, mine = at[some], mine[some]
     out, stays = seq.copy(), np.ones(len(seq), dtype=bool)
     out[at] = (first + mine).astype(np.uint32)
     stays[at + 1] = False
