@@ -1,17 +1,26 @@
 r"""Information-theoretic sanitisation of personal data, in DataFrame operations only.
 
 Four kinds of entities are found by pattern and rule (``KINDS``). Then the
-corpus tells which other terms give a protected entity away: term t in a
-document with entity e discloses it if
-
-    PMI(t; e) >= DISCLOSURE * IC(e),
-
-PMI(t; e) = log2(n(t, e) N / (n(t) n(e))) and IC(e) = log2(N / n(e)), with
-counts over all N documents. (At 1 the term occurs with e only.) An estimate
-needs ``SUPPORT`` different texts in which t and e occur together; so an entity
-with fewer can't have one, and only the texts of recurring entities are
-paired with terms, each different text once, with its number of copies.
-Entities are generalised to their kind's label, disclosing terms removed.
+corpus tells which other terms give protected entities away. An entity counts
+for three classes: itself, its neighbourhood (an e-mail's domain, the first two
+parts of an address, the first six digits of a card, five of a phone number)
+and its kind, so that entities that occur once have company. Term t discloses
+class g if
+
+    log2(P(g | t) / P(g)) >= DISCLOSURE * -log2(P(g)),
+    P(g | t) = (m r + STRENGTH P(g)) / (m + STRENGTH),   r = n(t, g) / n(t)
+
+where n(t, g) counts documents in which t stands within ``CONTEXT`` characters
+of an entity of g, n(t) documents with t, and m the different texts among the
+first: what few texts say is drawn to P(g), so there is no threshold of
+support, and no copies of one text make evidence. (Without that pull, at 1 the
+term occurs beside g only.) Entities are generalised to their kind's label;
+disclosing terms are removed from documents that have an entity of the class.
+Terms are runs of letters and digits outside entities, in lower case (what an
+entity leaves of a longer run is no term, unless it is one elsewhere).
+
+Words and entities of a text meet by stretches of ``CONTEXT`` characters, so
+what a text costs is in proportion to its length, whatever it holds.
 
 Patterns are written so that they run in linear time, without deep recursion:
 with possessive quantifiers, and starting only where a run of their characters
@@ -19,7 +28,8 @@ starts or the last match ended, which matches the same spans.
 
 Edge cases: a null text is empty; a null ``doc_id`` and repeated rows get
 their own results; an empty table gives an empty result; columns of other names
-pass through ``sanitise`` unchanged.
+pass through ``sanitise`` unchanged, also where they are called as ours; ties
+don't arise, as every term is decided on its own.
 """
 
 from __future__ import annotations
@@ -37,9 +47,12 @@ KINDS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 #: What terms are, and the kind that their spans carry.
-TERM, TERM_KIND = r"\p{L}{3,}", "term"
-SUPPORT = 3
+TERM, TERM_KIND = r"[\p{L}\p{N}]+", "term"
+#: Texts that the share of a class in all documents counts as, beside the texts seen.
+STRENGTH = 0.5
 DISCLOSURE = 0.9
+#: Characters on each side of an entity that are its context.
+CONTEXT = 200
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Spans gathered before they go to the list of full groups, so that no long list is copied again and again.
 _GROUP = 512
@@ -97,67 +110,87 @@ def _joined(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, x -> concat(x.k, ':', x.a, ':', x.b)), ',')")
 
 
-def disclosing(docs: DataFrame, held: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """(entity, term) pairs that disclose. ``held``: the rows with entities, as (_row, _text, _base)."""
-    entities = F.expr("array_distinct(transform(_base, x -> concat(x.k, ':', lower(x.m))))")
-    texts = held.groupBy(F.sha2("_text", 256).alias("_digest")).agg(F.count("*").alias("_copies"), F.min("_row").alias("_row"))
-    of = staged(held.select("_row", F.explode(entities).alias("entity")).join(texts, "_row"), "entities")
-    recurring = of.groupBy("entity").agg(F.sum("_copies").alias("_ne"), F.count("*").alias("_texts")).where(F.col("_texts") >= support).drop("_texts")
-    recurring = staged(recurring, "recurring")
-    chosen = staged(of.join(recurring, "entity").groupBy("_row", "_copies").agg(F.collect_list("entity").alias("_of")), "contexts")
-    words = held.join(chosen, "_row").select("_copies", "_of", _free_terms().alias("_words"))
-    pairs = words.select("_copies", "_of", F.explode(F.expr("array_distinct(transform(_words, x -> lower(x.m)))")).alias("term"))
-    pairs = pairs.select("_copies", "term", F.explode("_of").alias("entity")).groupBy("entity", "term").agg(F.sum("_copies").alias("_nte"), F.count("*").alias("_texts"))
-    pairs = staged(pairs.where(F.col("_texts") >= support).join(recurring, "entity"), "pairs")
-    total = F.lit(docs.count()).cast("double")
-    # a term that the rows with entities alone have too often can't reach the threshold, whatever the other rows hold
-    words_held = held.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    at_least = words_held.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("_least"))
-    most = F.col("_nte") * F.pow(total / F.col("_ne"), F.lit(1 - disclosure))
-    pairs = staged(pairs.join(at_least, "term").where(F.col("_least") <= most * (1 + 1e-9)).drop("_least"), "possible-pairs")
-    terms = staged(pairs.select("term").distinct(), "terms")
-    seen = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    counts = staged(seen.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("_nt")), "term-counts")
-    pmi = F.log2(F.col("_nte") * total / (F.col("_nt") * F.col("_ne")))
-    return pairs.join(counts, "term").where(pmi >= disclosure * F.log2(total / F.col("_ne"))).select("entity", "term")
+_CLASSES = f"""CASE x.k
+    WHEN 'email' THEN array('email', concat('email@', lower(substring_index(x.m, '@', -1))), concat('email:', lower(x.m)))
+    WHEN 'ip' THEN array('ip', concat('ip/', substring_index(x.m, '.', 2)), concat('ip:', x.m))
+    WHEN 'card' THEN array('card', concat('card/', left({_DIGITS}, 6)), concat('card:', {_DIGITS}))
+    ELSE array('phone', concat('phone/', left({_DIGITS}, 5)), concat('phone:', {_DIGITS})) END"""
+
+
+def _masked(spans: str) -> Column:
+    """``_text`` with spaces for the characters of the spans."""
+    sorted_ = f"array_sort(transform({spans}, x -> named_struct('a', x.a, 'b', x.b)))"
+    # a piece is what lies before a span, and the span's blanks; nothing of what an earlier span covers
+    return F.expr(
+        f"""aggregate({sorted_}, named_struct('at', 0, 'parts', CAST(array() AS array<string>)),
+        (acc, x) -> CASE WHEN x.b <= acc.at THEN acc ELSE named_struct('at', x.b, 'parts', concat(acc.parts,
+            array(substring(_text, acc.at + 1, greatest(x.a - acc.at, 0)), repeat(' ', x.b - greatest(x.a, acc.at))))) END,
+        acc -> concat(array_join(acc.parts, ''), substring(_text, acc.at + 1)))"""
+    )
 
 
-def _free_terms() -> Column:
-    """Terms of ``_text`` outside the spans of ``_base``."""
-    return F.filter(located("_text", TERM), lambda x: ~F.exists("_base", lambda s: (s["a"] < x["b"]) & (x["a"] < s["b"])))
+def tokens_of(held: DataFrame) -> DataFrame:
+    """(_row, a, b, m, term): the terms outside entities of the rows with entities, staged."""
+    found = held.select("_row", _masked("_base").alias("_free")).select("_row", F.explode(located("_free", TERM)).alias("x"))
+    return staged(found.select("_row", "x.a", "x.b", "x.m", F.lower("x.m").alias("term")), "terms-held")
 
 
-def _term_spans(docs: DataFrame, held: DataFrame, support: int, disclosure: float) -> DataFrame:
+def disclosing(docs: DataFrame, held: DataFrame, tokens: DataFrame, disclosure: float = DISCLOSURE, strength: float = STRENGTH, context: int = CONTEXT) -> tuple[DataFrame, DataFrame]:
+    """(class, term) pairs that disclose, and (_row, class). ``held``: the rows with entities, as (_row, _text, _base)."""
+    texts = held.groupBy(F.sha2("_text", 256).alias("_digest")).agg(F.count("*").alias("_copies"), F.min("_row").alias("_row")).drop("_digest")
+    classes = staged(held.select("_row", F.explode(F.expr(f"array_distinct(flatten(transform(_base, x -> {_CLASSES})))")).alias("class")), "classes")
+    total = F.lit(docs.count()).cast("double")
+    shares = classes.groupBy("class").agg((F.count("*") / total).alias("_p"))
+    # words and entities of a row meet by stretches of the text
+    spans = held.select("_row", F.explode("_base").alias("x")).select("_row", "x.a", "x.b", F.expr(_CLASSES).alias("_of"))
+    spans = spans.select("_row", F.col("a").alias("_a"), F.col("b").alias("_b"), "_of", F.explode(F.expr(f"sequence(cast(floor((a - {context}) / {context}) AS INT), cast(floor((b + {context}) / {context}) AS INT))")).alias("_stretch"))
+    near = tokens.withColumn("_stretch", F.floor(F.col("a") / context).cast("int")).join(spans.join(texts, "_row"), ["_row", "_stretch"])
+    near = near.where(f"b > _a - {context} AND a < _b + {context}").select("_row", "_copies", "term", F.explode("_of").alias("class")).distinct()
+    pairs = near.groupBy("class", "term").agg(F.sum("_copies").cast("double").alias("_nte"), F.count("*").alias("_texts"))
+
+    def reaches(n: str) -> Column:
+        shrunk = (F.col("_texts") * F.least(F.col("_nte") / F.col(n), F.lit(1.0)) + strength * F.col("_p")) / (F.col("_texts") + strength)
+        return F.log2(shrunk / F.col("_p")) >= -disclosure * F.log2("_p")
+
+    # a term that can't reach the threshold in the rows with entities alone can't when all are counted
+    at_least = tokens.select("_row", "term").distinct().groupBy("term").agg(F.count("*").alias("_least"))
+    possible = pairs.join(shares, "class").where(reaches("_nte"))
+    possible = staged(possible.join(at_least, "term").where(reaches("_least")).drop("_least"), "possible-pairs")
+    terms = staged(possible.select("term").distinct(), "terms")
+    seen = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    counts = seen.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("_nt"))
+    return possible.join(counts, "term").where(reaches("_nt")).select("class", "term"), classes
+
+
+def _term_spans(docs: DataFrame, held: DataFrame, disclosure: float, strength: float) -> DataFrame:
     """(_row, _terms): the disclosing terms of the rows that have any, as spans."""
-    risky = staged(disclosing(docs, held, support, disclosure), "disclosing")
-    of = held.select("_row", F.explode(F.expr("array_distinct(transform(_base, x -> concat(x.k, ':', lower(x.m))))")).alias("entity"))
-    here = staged(of.join(risky, "entity").select("_row", "term").distinct(), "risky-terms")
-    words = held.join(here.select("_row").distinct(), "_row", "left_semi").select("_row", F.explode(_free_terms()).alias("x"))
-    hit = words.withColumn("term", F.lower("x.m")).join(here, ["_row", "term"])
-    span = F.struct(F.lit(TERM_KIND).alias("k"), F.col("x.a").alias("a"), F.col("x.b").alias("b"), F.col("x.m").alias("m"))
-    return staged(hit.groupBy("_row").agg(F.array_sort(F.collect_list(span)).alias("_terms")), "term-spans")
+    tokens = tokens_of(held)
+    risky, classes = disclosing(docs, held, tokens, disclosure, strength)
+    hit = tokens.join(staged(risky, "disclosing"), "term").join(classes, ["_row", "class"], "left_semi")
+    span = F.struct(F.lit(TERM_KIND).alias("k"), "a", "b", "m")
+    return staged(hit.groupBy("_row").agg(F.array_sort(F.collect_set(span)).alias("_terms")), "term-spans")
 
 
-def _with_spans(docs: DataFrame, carried: list[Column], support: int, disclosure: float) -> DataFrame:
+def _with_spans(docs: DataFrame, carried: list[Column], disclosure: float, strength: float) -> DataFrame:
     """``carried`` columns with ``_base`` and ``_terms``, and ``_text`` where there are base spans."""
     found = _found(docs, carried)
     base = found.select(*found.columns[: len(carried)], "_text", _spans(list(KINDS)).alias("_base"), F.monotonically_increasing_id().alias("_row"))
     base = staged(base.withColumn("_text", F.when(F.size("_base") > 0, F.col("_text"))), "base-spans")
     held = base.where("_text IS NOT NULL").select("_row", "_text", "_base")
-    return base.join(_term_spans(docs, held, support, disclosure), "_row", "left")
+    return base.join(_term_spans(docs, held, disclosure, strength), "_row", "left")
 
 
-def detect(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def detect(docs: DataFrame, disclosure: float = DISCLOSURE, strength: float = STRENGTH) -> DataFrame:
     """Per document: doc_id, counts of the base kinds, base_sha256, and all spans as a string."""
-    rows = _with_spans(docs, [F.col("doc_id")], support, disclosure)
+    rows = _with_spans(docs, [F.col("doc_id")], disclosure, strength)
     counts = [F.expr(f"CAST(size(filter(_base, x -> x.k = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in KINDS]
     return rows.withColumn("_all", F.concat("_base", F.coalesce("_terms", F.expr("filter(_base, x -> false)")))).select("doc_id", *counts, F.sha2(_joined("_base"), 256).alias("base_sha256"), _joined("_all").alias("spans"))
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE, strength: float = STRENGTH) -> DataFrame:
     """``docs`` with entities generalised to their kind, as in ``[EMAIL]``, and disclosing terms removed."""
     names = docs.columns
-    rows = _with_spans(docs, [docs[f"`{n}`"].alias(f"c{k}") for k, n in enumerate(names)], support, disclosure)
+    rows = _with_spans(docs, [docs[f"`{n}`"].alias(f"c{k}") for k, n in enumerate(names)], disclosure, strength)
     text = f"c{names.index('text')}"
     spans = "array_sort(transform(concat(_base, coalesce(_terms, filter(_base, x -> false))), x -> named_struct('a', x.a, 'b', x.b, 'k', x.k)))"
     label = f"CASE WHEN x.k = '{TERM_KIND}' THEN '' ELSE concat('[', upper(x.k), ']') END"
