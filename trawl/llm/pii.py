@@ -34,7 +34,7 @@ don't arise, as every term is decided on its own.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trawl.staging import staged
@@ -130,9 +130,20 @@ def _masked(spans: str) -> Column:
 
 
 def tokens_of(held: DataFrame) -> DataFrame:
-    """(_row, a, b, m, term): the terms outside entities of the rows with entities, staged."""
-    found = held.select("_row", _masked("_base").alias("_free")).select("_row", F.explode(located("_free", TERM)).alias("x"))
-    return staged(found.select("_row", "x.a", "x.b", "x.m", F.lower("x.m").alias("term")), "terms-held")
+    """(_row, a, b, term): the terms outside entities of the rows with entities, staged."""
+    rx = _quoted(TERM)
+    free = held.select("_row", _masked("_base").alias("_free")).where(F.expr(f"regexp_like(_free, {rx})"))
+    parts = free.select("_row", F.posexplode(F.expr(f"zip_with(split(_free, {rx}, -1), regexp_extract_all(_free, {rx}, 0), (p, m) -> named_struct('p', length(p), 'm', m))")).alias("_at", "x"))
+    # places are running sums of lengths; a row's parts are no more than its text
+    so_far = Window.partitionBy("_row").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = parts.select("_row", F.col("x.m").alias("m"), F.sum(F.col("x.p") + F.coalesce(F.length("x.m"), F.lit(0))).over(so_far).cast("int").alias("b")).where("m IS NOT NULL")
+    return staged(ends.select("_row", (F.col("b") - F.length("m")).alias("a"), "b", F.lower("m").alias("term")), "terms-held")
+
+
+def _documents(rows: DataFrame, text: str) -> DataFrame:
+    """(_h, _n): by the 64-bit hash of a term, how many rows have it. Every task sums its own before they go anywhere."""
+    terms = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), lambda m: F.xxhash64(F.lower(m))))
+    return rows.select(F.explode(terms).alias("_h")).groupBy("_h").agg(F.count("*").alias("_n"))
 
 
 def disclosing(docs: DataFrame, held: DataFrame, tokens: DataFrame, disclosure: float = DISCLOSURE, strength: float = STRENGTH, context: int = CONTEXT) -> tuple[DataFrame, DataFrame]:
@@ -153,13 +164,11 @@ def disclosing(docs: DataFrame, held: DataFrame, tokens: DataFrame, disclosure:
         return F.log2(shrunk / F.col("_p")) >= -disclosure * F.log2("_p")
 
     # a term that can't reach the threshold in the rows with entities alone can't when all are counted
-    at_least = tokens.select("_row", "term").distinct().groupBy("term").agg(F.count("*").alias("_least"))
+    at_least = _documents(held.select(_masked("_base").alias("_free")), "_free").withColumnRenamed("_n", "_least")
     possible = pairs.join(shares, "class").where(reaches("_nte"))
-    possible = staged(possible.join(at_least, "term").where(reaches("_least")).drop("_least"), "possible-pairs")
-    terms = staged(possible.select("term").distinct(), "terms")
-    seen = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
-    counts = seen.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("_nt"))
-    return possible.join(counts, "term").where(reaches("_nt")).select("class", "term"), classes
+    possible = staged(possible.withColumn("_h", F.xxhash64("term")).join(at_least, "_h").where(reaches("_least")).drop("_least"), "possible-pairs")
+    counts = _documents(docs, "text").withColumnRenamed("_n", "_nt")
+    return possible.join(counts, "_h").where(reaches("_nt")).select("class", "term"), classes
 
 
 def _term_spans(docs: DataFrame, held: DataFrame, disclosure: float, strength: float) -> DataFrame:
@@ -167,7 +176,7 @@ def _term_spans(docs: DataFrame, held: DataFrame, disclosure: float, strength: f
     tokens = tokens_of(held)
     risky, classes = disclosing(docs, held, tokens, disclosure, strength)
     hit = tokens.join(staged(risky, "disclosing"), "term").join(classes, ["_row", "class"], "left_semi")
-    span = F.struct(F.lit(TERM_KIND).alias("k"), "a", "b", "m")
+    span = F.struct(F.lit(TERM_KIND).alias("k"), "a", "b", F.col("term").alias("m"))
     return staged(hit.groupBy("_row").agg(F.array_sort(F.collect_set(span)).alias("_terms")), "term-spans")
 
 
