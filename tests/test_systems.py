@@ -62,6 +62,29 @@ def test_readers(spark, folder):
     assert readers.prefix(corpus, 2).count() == 4
 
 
+def test_records_and_tables(spark, folder, tmp_path):
+    cache, gold = f"file://{tmp_path}/runs", readers.qrels(spark, folder)
+    split = spark.createDataFrame([("d1", "d1q", "fit"), ("d2", "d2q", "check")], "domain string, query_id string, part string")
+    c = context(spark, folder, cache=cache)
+    configs = [{"name": "bm25", "retrieve": {"kind": "sparse"}}, {"name": "and", "retrieve": {"kind": "sparse", "model": "boolean_and"}}]
+    first = P.record(c, configs[0], gold, split).first()
+    _, _, macro = P.score(c, configs[0], gold)
+    assert first.ndcg == macro.first().ndcg and (first.fit_n_topics, first.check_n_topics, first.n_gold_queries) == (1, 1, 2)
+    assert (first.fit_ndcg + first.check_ndcg) == pytest.approx(first.ndcg) and first.score_version == P.SCORE_VERSION
+    none = spark.createDataFrame([], gold.schema)
+    assert P.record(c, configs[0], none, split).first() == first  # from the cache
+    assert P.record(c, configs[0], none, split, force=True).first().n_gold_queries == 0
+    P.record(c, configs[0], gold, split, force=True)
+    rows = P.table(c, configs, gold, split, "fit").orderBy("place").collect()
+    assert [r.place for r in rows] == [1, 2] and not any(r.incomplete for r in rows) and rows[0].fit_ndcg >= rows[1].fit_ndcg
+    later = context(spark, folder, cache=cache)
+    assert later.registry == c.registry and {r.name: r.ndcg is not None for r in P.listing(later).collect()} == {"bm25": True, "and": True}
+    assert P.listing(context(spark, folder)).count() == 0
+    path = tmp_path / "mine.json"
+    path.write_text(json.dumps({"retrieve": {"kind": "sparse"}}))
+    assert P.system(path)["name"] == "mine" and P.system({"name": "x"})["name"] == "x" and P.system({})["name"] == "system"
+
+
 def test_run_cache_and_score(spark, folder, tmp_path):
     cache = f"file://{tmp_path}/runs"
     config = {"name": "a", "retrieve": {"kind": "sparse"}, "dedup": {"kind": "content_hash"}}
@@ -105,6 +128,8 @@ def test_jobs_and_files(spark, folder, tmp_path):
     assert P.run(c, {"retrieve": {"kind": "gpu_job", "job": "j1", "depth": 1}}).count() == 1
     writers.submission(run, f"{path}/trec", "tag", 5)
     assert spark.read.text(f"{path}/trec").count() == 10 and spark.read.text(f"{path}/trec").first()[0].split(" ")[1] == "Q0"
+    scores = {(r.query_id, r.doc_id): f"{r.score:.6f}" for r in run.collect()}
+    assert all(scores[x[0].split(" ")[0], x[0].split(" ")[2]] == x[0].split(" ")[4] for x in spark.read.text(f"{path}/trec").collect())
     with pytest.raises(ValueError):
         writers.submission(run.withColumn("rank", run["rank"] + 1), f"{path}/bad", "tag", 5)
     assert not os.path.exists(tmp_path / "bad")

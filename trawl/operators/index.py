@@ -7,7 +7,8 @@ tables, so that many searches share one tokenization.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +24,16 @@ class Index:
     docs: DataFrame
     postings: DataFrame
     written: bool = False
+    #: What was computed from a written index for later searches, by name.
+    kept: dict[str, DataFrame] = field(default_factory=dict)
+
+    def keep(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that ``make`` computes: once, and stored, if the index is."""
+        if not self.written:
+            return make()
+        if name not in self.kept:
+            self.kept[name] = staged(make(), name)
+        return self.kept[name]
 
     def domains(self) -> DataFrame:
         """domain, n documents, avgdl, total tokens."""

@@ -22,7 +22,7 @@ from trawl.plans import oracle as O
 from trawl.plans import pipeline
 from trawl.shipping import ship
 from trawl.sources import writers
-from trawl.staging import staged
+from trawl.staging import staged, there
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,14 +56,32 @@ def asked(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text").join(domains)
 
 
+_golds: dict[tuple[str, str], DataFrame] = {}
+
+
 def gold(s: SparkSession, d: str) -> DataFrame:
-    """The few benchmark passages against all documents."""
+    """The few benchmark passages against all documents, once for each folder as long as its table is there."""
+    key = (s.sparkContext.applicationId, d)
+    if key not in _golds or not there(s, _golds[key]):
+        _golds[key] = staged(_gold(s, d), "gold")
+    return _golds[key]
+
+
+def _gold(s: SparkSession, d: str) -> DataFrame:
+    """What is broadcast is a stated query set; Catalyst looks at its size."""
     docs = table(s, d, "documents").select(F.col("lang").alias("domain"), "doc_id", F.col("text").alias("t"))
     return docs.join(table(s, d, "benchmark"), F.expr("contains(t, text)")).select("domain", F.col("item_id").alias("query_id"), "doc_id").distinct()
 
 
+_indexes: dict[tuple[str, str, str], Index] = {}
+
+
 def index(s: SparkSession, d: str, tokens: str = TOKENS) -> Index:
-    return build(corpus(s, d), tokens)
+    """One stored index for each folder and tokenizer, as long as its tables are there."""
+    key = (s.sparkContext.applicationId, d, tokens)
+    if key not in _indexes or not all(there(s, t) for t in (_indexes[key].docs, _indexes[key].postings, *_indexes[key].kept.values())):
+        _indexes[key] = build(corpus(s, d), tokens).stored()
+    return _indexes[key]
 
 
 def listed(s: SparkSession, d: str, how: Weighting | None = None, depth: int = DEPTH, ix: Index | None = None) -> DataFrame:
@@ -252,7 +270,7 @@ def _sweep(name: str, grid: list[dict], keys: list[str]) -> None:
 
     @query(name, O.query(tables, " UNION ALL ".join(selects)))
     def _(s, d):
-        ix, right, out = index(s, d).stored(), staged(gold(s, d), "gold"), None
+        ix, right, out = index(s, d), gold(s, d), None
         for how in grid:
             run = staged(listed(s, d, Weighting(**how), ix=ix), "run")
             macro = evaluate.macro(evaluate.by_domain(evaluate.per_query(run, right), right, run))
@@ -324,9 +342,9 @@ def _(s, d):
     return both.agg(F.count("*").alias("pairs"), F.count_if(F.coalesce(F.arrays_overlap("q", "t"), F.lit(False))).alias("reached"))
 
 
-@query("tie_diversity", O.query(O.base() + O.run(), "SELECT domain, round(avg(x), 6) AS distinct_scores FROM (SELECT domain, query_id, count(DISTINCT round(score, 6)) AS x FROM run WHERE rank <= 10 GROUP BY ALL) GROUP BY ALL"))
+@query("tie_diversity", O.query(O.base() + O.run(), "SELECT domain, round(avg(x), 6) AS distinct_scores FROM (SELECT domain, query_id, count(DISTINCT round(score, 10)) AS x FROM run WHERE rank <= 10 GROUP BY ALL) GROUP BY ALL"))
 def _(s, d):
-    top = listed(s, d).where("rank <= 10").groupBy(*LIST).agg(F.count_distinct(F.round("score", 6)).alias("x"))
+    top = listed(s, d).where("rank <= 10").groupBy(*LIST).agg(F.count_distinct(F.round("score", 10)).alias("x"))
     return top.groupBy("domain").agg(F.round(F.avg("x"), 6).alias("distinct_scores"))
 
 
@@ -421,7 +439,7 @@ _TWO = [*O.base(), *O.run("a"), *O.run("b", model="tfidf")]
 
 
 def _two(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    ix = index(s, d).stored()
+    ix = index(s, d)
     return staged(listed(s, d, ix=ix), "run"), staged(listed(s, d, Weighting("tfidf"), ix=ix), "run")
 
 
@@ -456,7 +474,7 @@ def _(s, d):
 
 _DENSE = [
     f"v AS (SELECT vec_id, label, {O.UNIT.format(v='embedding')} AS u FROM embeddings)",
-    O.ranked("den", "SELECT 'all' AS domain, q.vec_id AS query_id, d.vec_id AS doc_id, list_dot_product(q.u, d.u) AS score FROM v q, v d WHERE q.vec_id % 20 = 0 AND d.vec_id % 20 <> 0", "round(score, 9) DESC, doc_id", 10),
+    O.ranked("den", "SELECT 'all' AS domain, q.vec_id AS query_id, d.vec_id AS doc_id, list_dot_product(q.u, d.u) AS score FROM v q, v d WHERE q.vec_id % 20 = 0 AND d.vec_id <> q.vec_id", "round(score, 9) DESC, doc_id", 10),
 ]
 
 
@@ -466,7 +484,7 @@ def _vectors(s: SparkSession, d: str) -> DataFrame:
 
 def _dense(s: SparkSession, d: str) -> DataFrame:
     v = _vectors(s, d)
-    return dense(v.where("vec_id % 20 <> 0").withColumnRenamed("vec_id", "doc_id"), v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10)
+    return dense(v.withColumnRenamed("vec_id", "doc_id"), v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 10, others=True)
 
 
 @query("dense_cosine_topk", O.query(_DENSE, O.shown("den")))
@@ -483,7 +501,7 @@ def _(s, d):
 
 @query("hybrid_rrf", O.query([*O.base(), *O.run("a"), *O.run("b", model="qlm"), *O.run("c", model="tfidf"), *O.rrf(["a", "b", "c"], "f", 60, 100)], "SELECT domain, query_id, rank, doc_id, round(1 / (60 + rank), 6) AS score FROM f"))
 def _(s, d):
-    ix = index(s, d).stored()
+    ix = index(s, d)
     lists = [staged(listed(s, d, Weighting(m), ix=ix), "run") for m in ("bm25", "qlm", "tfidf")]
     return shown(runs.fuse(lists[0], lists[1:], 60, 100))
 
@@ -524,7 +542,7 @@ _PAIRED = [*_TWO, *O.metrics("a", "ma"), *O.metrics("b", "mb"), "diffs AS (SELEC
 
 def _diffs(s: SparkSession, d: str) -> DataFrame:
     a, b = _two(s, d)
-    right = staged(gold(s, d), "gold")
+    right = gold(s, d)
     return staged(stats.paired(evaluate.per_query(a, right), evaluate.per_query(b, right)), "diffs")
 
 
@@ -557,7 +575,7 @@ _SYSTEMS = {"bm25": {}, "bm25_tuned": {"k1": 2.0, "b": 0.9}, "qlm": {"model": "q
 
 @query("system_table", O.query(O.base() + [t for n, h in _SYSTEMS.items() for t in O.run(f"{n}_r", **h) + O.metrics(f"{n}_r", f"{n}_s") + O.domains(f"{n}_s", f"{n}_r", f"{n}_g")], "SELECT name, n_topics, round(ndcg, 6) AS ndcg, row_number() OVER (ORDER BY round(ndcg, 9) DESC, name) AS place FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, sum(n_topics)::BIGINT AS n_topics, avg(ndcg) AS ndcg FROM {n}_g" for n in _SYSTEMS) + ")"))
 def _(s, d):
-    ix, right, out = index(s, d).stored(), staged(gold(s, d), "gold"), None
+    ix, right, out = index(s, d), gold(s, d), None
     for name, how in _SYSTEMS.items():
         run = staged(listed(s, d, Weighting(**how), ix=ix), "run")
         row = evaluate.macro(evaluate.by_domain(evaluate.per_query(run, right), right, run)).select(F.lit(name).alias("name"), "n_topics", "ndcg")
@@ -566,6 +584,14 @@ def _(s, d):
     return out.select("name", "n_topics", F.round("ndcg", 6).alias("ndcg"), place.cast("long").alias("place"))
 
 
+@query("system_metrics", O.query(O.base() + [t for n, h in _SYSTEMS.items() for t in O.run(f"{n}_r", **h) + O.metrics(f"{n}_r", f"{n}_s") + O.domains(f"{n}_s", f"{n}_r", f"{n}_g")], f"SELECT name, n_topics, n_gold_queries, n_topics < n_gold_queries AS incomplete, {', '.join(f'round({m}, 6) AS {m}' for m in O.METRICS)}, row_number() OVER (ORDER BY round(ndcg, 9) DESC, name) AS place FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, sum(n_topics)::BIGINT AS n_topics, sum(n_gold_queries)::BIGINT AS n_gold_queries, {', '.join(f'avg({m}) AS {m}' for m in O.METRICS)} FROM {n}_g" for n in _SYSTEMS) + ")"))
+def _(s, d):
+    context = _context(s, d)
+    context.indexes[TOKENS] = index(s, d)
+    rows = pipeline.table(context, [{"name": n, "retrieve": {"kind": "sparse", **h}} for n, h in _SYSTEMS.items()], gold(s, d))
+    return rounded(rows, *O.METRICS).select("name", "n_topics", "n_gold_queries", "incomplete", *O.METRICS, "place")
+
+
 @query("recall_gain_by_depth", O.query(_SCORED + _CURVE, f"SELECT depth, round(recall - lag(recall) OVER (ORDER BY depth), 6) AS gain FROM ({_CURVE_SQL.format(m='recall', e='found / n_gold').replace('round(avg(x), 6)', 'avg(x)')})"))
 def _(s, d):
     curve = evaluate.depth_curve(listed(s, d), gold(s, d), DEPTHS)  # a row for each depth
@@ -585,7 +611,7 @@ _PART_SQL = "SELECT '{n}' AS name, '{p}' AS part, (SELECT avg(coalesce(a, 0)) FR
 @query("system_rank_by_part", O.query(_RANKED, "SELECT name, part, round(ndcg, 6) AS ndcg, rank() OVER (PARTITION BY part ORDER BY round(ndcg, 9) DESC) AS place FROM (" + " UNION ALL ".join(_PART_SQL.format(n=n, p=p) for n in _SYSTEMS for p in ("fit", "check")) + ")"))
 def _(s, d):
     """Whether systems rank alike on both parts of a split."""
-    ix, right, split, out = index(s, d).stored(), staged(gold(s, d), "gold"), staged(stats.split_by_hash(asked(s, d)), "split"), None
+    ix, right, split, out = index(s, d), gold(s, d), staged(stats.split_by_hash(asked(s, d)), "split"), None
     for name, how in _SYSTEMS.items():
         scores = staged(evaluate.per_query(listed(s, d, Weighting(**how), ix=ix), right), "scores")
         for part in ("fit", "check"):
@@ -629,7 +655,7 @@ def _(s, d):
     return shown(pipeline.run(_context(s, d), _FUSED))
 
 
-@query("trec_run_lines", O.query([*O.base(), *O.run()], "SELECT domain, query_id, rank, printf('%d Q0 %d %d %.6f tag', query_id, doc_id, rank, 1 / rank) AS line FROM run WHERE rank <= 10"))
+@query("trec_run_lines", O.query([*O.base(), *O.run()], "SELECT domain, query_id, rank, printf('%d Q0 %d %d %.6f tag', query_id, doc_id, rank, round(score, 6)) AS line FROM run WHERE rank <= 10"))
 def _(s, d):
     return writers.trec_lines(listed(s, d, depth=10), "tag").withColumn("rank", F.col("rank").cast("long"))
 

@@ -7,8 +7,9 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trawl.operators import evaluate, runs, stats
@@ -33,6 +34,11 @@ class Context:
     registry: dict[str, dict] = field(default_factory=dict)
     indexes: dict[str, Index] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        """A registry that an earlier program left in the cache goes on."""
+        if self.cache and not self.registry and _there(self.spark, f"{self.cache}/registry"):
+            self.registry = json.loads(self.spark.read.text(f"{self.cache}/registry", wholetext=True).first()[0])
+
     def index(self, tokenizer: str) -> Index:
         """One stored index for each tokenizer, whatever is asked of it."""
         if tokenizer not in self.indexes:
@@ -52,8 +58,11 @@ def register(stage: str, kind: str) -> Callable[[Stage], Stage]:
     return keep
 
 
-def system(config: dict | str, name: str = "system") -> dict:
-    """A system from a dict or JSON text, with all stages; other keys are an error."""
+def system(config: dict | str | Path, name: str | None = None) -> dict:
+    """A system from a dict, JSON text or the path of a JSON file (whose stem names it), with all stages; other keys are an error."""
+    if isinstance(config, Path):
+        name, config = name or config.stem, config.read_text(encoding="utf-8")
+    name = name or "system"
     given = dict(json.loads(config) if isinstance(config, str) else config)
     if other := sorted(given.keys() - {*STAGES, "name", "note"}):
         raise ValueError(f"unknown keys: {', '.join(other)}")
@@ -91,10 +100,13 @@ def run(context: Context, config: dict, force: bool = False) -> DataFrame:
     return out
 
 
-def _cached(spark: SparkSession, path: str) -> DataFrame | None:
+def _there(spark: SparkSession, path: str) -> bool:
     done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    there = done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
-    return spark.read.parquet(path).select(*runs.COLUMNS) if there else None
+    return done.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(done)
+
+
+def _cached(spark: SparkSession, path: str) -> DataFrame | None:
+    return spark.read.parquet(path).select(*runs.COLUMNS) if _there(spark, path) else None
 
 
 def note(context: Context, key: str, config: dict) -> None:
@@ -103,6 +115,8 @@ def note(context: Context, key: str, config: dict) -> None:
     if config["name"] not in (entry["name"], *entry["aliases"]):
         entry["aliases"].append(config["name"])
     entry["when"] = datetime.now(UTC).isoformat(timespec="seconds")
+    if context.cache:  # a line for all runs, by the driver alone
+        context.spark.createDataFrame([(json.dumps(context.registry),)], "value string").coalesce(1).write.mode("overwrite").text(f"{context.cache}/registry")
 
 
 def score(context: Context, config: dict, gold: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -113,6 +127,57 @@ def score(context: Context, config: dict, gold: DataFrame) -> tuple[DataFrame, D
     return scores, domains, evaluate.macro(domains)
 
 
+#: Goes up when what a record holds changes, so that older ones are computed anew.
+SCORE_VERSION = 1
+PARTS = ("fit", "check")
+
+
+def record(context: Context, config: dict, gold: DataFrame, split: DataFrame | None = None, force: bool = False) -> DataFrame:
+    """One row of a system's scores: hash, split, name, topics, macro metrics, and nDCG, recall and topics of the parts of ``split``.
+
+    With a cache it is kept by fingerprint and ``SCORE_VERSION``, and read from there.
+    """
+    config = system(config)
+    key = fingerprint(config, split=context.split)
+    path = f"{context.cache}/scores-{SCORE_VERSION}/{key}{'' if split is None else '-parts'}" if context.cache else None
+    if path and not force and _there(context.spark, path):
+        return context.spark.read.parquet(path)
+    scores, domains, _ = score(context, config, gold)
+    parts = {}
+    for part in PARTS if split is not None else ():
+        mine = evaluate.restrict(scores, split, part).agg(*[F.avg(m).alias(f"{part}_{m}") for m in ("ndcg", "recall")], F.sum("n_topics").alias(f"{part}_n_topics"))
+        parts |= mine.first().asDict()  # three numbers
+    row = domains.agg(F.count("*").alias("n_domains"), F.sum("n_topics").alias("n_topics"), F.sum("n_gold_queries").alias("n_gold_queries"), *[F.avg(m).alias(m) for m in evaluate.METRICS])
+    row = row.select("*", *[F.lit(v).alias(k) for k, v in parts.items()])
+    row = row.select(F.lit(key).alias("hash"), F.lit(context.split).alias("split"), F.lit(SCORE_VERSION).alias("score_version"), F.lit(config["name"]).alias("name"), "*")
+    if path is None:
+        return row
+    row.coalesce(1).write.mode("overwrite").parquet(path)
+    return context.spark.read.parquet(path)
+
+
+def table(context: Context, configs: list[dict], gold: DataFrame, split: DataFrame | None = None, part: str | None = None) -> DataFrame:
+    """A row for each system, best first by nDCG (of a part, if one is named), with all metrics; ``incomplete`` where topics have no list."""
+    rows = None
+    for config in configs:
+        one = record(context, config, gold, split)
+        rows = one if rows is None else rows.unionByName(one)
+    by = f"{part}_ndcg" if part else "ndcg"
+    place = F.row_number().over(Window.orderBy(F.round(by, 9).desc(), "name"))  # a row for each system
+    return rows.select("*", (F.col("n_topics") < F.col("n_gold_queries")).alias("incomplete"), place.cast("long").alias("place"))
+
+
+def listing(context: Context) -> DataFrame:
+    """The registry (hash, name, aliases, split, when) with the metrics of the runs that have a record."""
+    entries = [(k, e["name"], e["aliases"], e["split"], e["when"]) for k, e in sorted(context.registry.items())]
+    known = context.spark.createDataFrame(entries, "hash string, name string, aliases array<string>, split string, when string")
+    folder = f"{context.cache}/scores-{SCORE_VERSION}"
+    paths = [f"{folder}/{k}{x}" for k in context.registry for x in ("", "-parts") if context.cache and _there(context.spark, f"{folder}/{k}{x}")]
+    if not paths:
+        return known.select("*", *[F.lit(None).cast("double").alias(m) for m in evaluate.METRICS])
+    return known.join(context.spark.read.parquet(*paths).select("hash", *evaluate.METRICS).dropDuplicates(["hash"]), "hash", "left")
+
+
 def differences(a: dict, b: dict, path: str = "") -> list[str]:
     """Dotted paths of the leaves in which two systems differ, names aside."""
     out: list[str] = []

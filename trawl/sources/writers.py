@@ -21,8 +21,8 @@ def run_file(run: DataFrame, path: str) -> None:
 
 
 def trec_lines(run: DataFrame, tag: str) -> DataFrame:
-    """``qid Q0 doc rank score tag``; the score is 1 / rank, so that whoever sorts by it keeps the order."""
-    line = F.format_string("%s Q0 %s %d %.6f %s", F.col("query_id").cast("string"), F.col("doc_id").cast("string"), F.col("rank"), 1 / F.col("rank"), F.lit(tag))
+    """``qid Q0 doc rank score tag`` with the run's own scores, to six decimals."""
+    line = F.format_string("%s Q0 %s %d %.6f %s", F.col("query_id").cast("string"), F.col("doc_id").cast("string"), F.col("rank"), F.round("score", 6), F.lit(tag))
     return run.select(*_LIST, "rank", line.alias("line"))
 
 

@@ -2,17 +2,23 @@
 
 A staged table cuts the lineage: it lies in the folder that the cluster names
 in ``spark.checkpoint.dir``, so that a lost executor costs a read, not a
-recomputation. Where the setting is absent (tests, a single machine) a folder
-of the session's own takes its place.
+recomputation. Where the setting is absent a local session (tests, a single
+machine) gets a folder of its own, which goes when the program ends; on a
+cluster, where executors couldn't see it, that is an error. ``cleanup`` deletes
+what an application has staged; results that were not yet written may need it.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from trawl.shipping import ship
+
 _own: dict[str, str] = {}
 
 
@@ -23,7 +29,12 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own:
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="trawl-")
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="trawl-")
+        atexit.register(shutil.rmtree, folder, True)
+        _own[app] = "file://" + folder
     return _own[app]
 
 
@@ -34,11 +45,18 @@ def _root(spark: SparkSession) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and return it reread."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def there(spark: SparkSession, table: DataFrame) -> bool:
+    """Whether the files of a staged table still are where it was written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path((table.inputFiles() or [_root(spark)])[0])
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete all tables that this application staged."""
     jvm = spark.sparkContext._jvm
