@@ -40,3 +40,10 @@ def test_nulls_and_repeated_rows(spark):
         assert sum(r.kept for r in got) == 2 and {(r.keep_id, r.group_size) for r in got} == {(3, 3), (None, 2)}
         kept = E.deduplicate(table(spark, rows), share).collect()
         assert sorted((r.doc_id or -1) for r in kept) == [-1, 3]
+
+
+def test_very_long_texts(spark):
+    long = "Long text " * 200_000
+    rows = [(1, long), (2, long.upper()), (3, long + "x")]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in E.resolve(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (2, 2, False), 2: (2, 2, True), 3: (3, 1, True)}

@@ -59,7 +59,7 @@ def test_against_brute_force(spark, tmp_path):
     label = brute_components([i for i, _ in kept], [brute_print(t) for _, t in kept], 4)
     kept = [k for k, c in zip(kept, label, strict=True) if k[0] == c]
     clean = {}
-    for (i, t), spans in zip(kept, brute([(i, t) for i, t in kept], 3, 0.9), strict=True):
+    for (i, t), spans in zip(kept, brute([(i, t) for i, t in kept]), strict=True):
         out, at = "", 0
         for a, b, k in sorted((s[1], s[2], s[0]) for s in spans):
             if b > at:

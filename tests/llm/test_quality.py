@@ -1,3 +1,5 @@
+import math
+
 import random
 
 import numpy as np
@@ -63,3 +65,31 @@ def test_without_ratings_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, grade int")
     model = Q.fit(docs, none, 2)
     assert Q.select(docs, model).count() == 1 and Q.score(docs.limit(0), model).count() == 0
+
+
+def test_repeated_rows_of_a_rated_document(spark):
+    """What is fitted on is one row for each rating, however often its document is there."""
+    rows = [(i, f"good words here {i % 7}" if i % 2 else f"junk junk {i % 5}") for i in range(200)]
+    ratings = spark.createDataFrame([(i, 2 if i % 2 else 0) for i in range(200)], "doc_id long, grade int")
+    once = Q.fit(spark.createDataFrame(rows, "doc_id long, text string"), ratings, 2)
+    many = Q.fit(spark.createDataFrame(rows + rows[:50] * 40, "doc_id long, text string"), ratings, 2)
+    assert (once.weights == many.weights).all() and once.cut == many.cut and (once.thresholds == many.thresholds).all()
+
+
+def brute_scores(model, texts):
+    """Expected grade and selection, document by document, from features counted one by one."""
+    out = []
+    for t in texts:
+        score = sum(float(model.weights[k]) for k in Q.features(t, len(model.weights)))
+        tails = [1 / (1 + math.exp(-(score - x))) for x in model.thresholds]
+        out.append((sum(tails), tails[-1] >= model.cut))
+    return out
+
+
+def test_scores_against_brute_force(spark):
+    rows = [(i, f"good words here {i}" if i % 2 else f"junk junk {i % 5}" if i % 3 else None) for i in range(200)] + [(200, ""), (None, "good words " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = Q.fit(docs, spark.createDataFrame([(i, 2 if i % 2 else i % 4 // 2) for i in range(200)], "doc_id long, grade int"), 2)
+    got = {r.doc_id: (r.expected_grade, r.selected) for r in Q.score(docs, model).collect()}
+    for (i, _), (grade, chosen) in zip(rows, brute_scores(model, [t for _, t in rows]), strict=True):
+        assert abs(got[i][0] - grade) < 1e-4 and got[i][1] == chosen

@@ -49,7 +49,8 @@ def test_against_brute_force(spark):
         assert (n <= link.sum(axis=1)).all() and n.sum() >= 0.97 * link.sum()
         same = np.mean([got[i + 100].component_id == label[i] + 100 for i in range(len(x))])
         assert same > 0.97 and all(r.kept == (r.vec_id == r.component_id) for r in got.values())
-    assert V.audit(t, V.link(t), 200) > 0.97
+    share, links = V.audit(t, V.link(t), 200)
+    assert share > 0.97 and links > 100
 
 
 def test_odd_vectors(spark):
@@ -58,3 +59,11 @@ def test_odd_vectors(spark):
     single = [(i, 0, i, True) for i in (1, 2, 3, 4, 5, 6, 9)]
     assert got == sorted([*single, (7, 3, 7, True), (7, 3, 7, True), (-1, 3, 7, False), (8, 3, 7, False), (10, 1, 10, True), (11, 1, 10, False)])
     assert V.link(table(spark, [])).count() == 0
+
+
+def test_doubles(spark):
+    rows = [(1, [1e300, 0.0]), (2, [1e300, 0.0]), (3, [1.0, 0.0]), (4, [0.0, 1e-300]), (5, [float("inf"), 0.0])]
+    got = {r.vec_id: r.n_links for r in V.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: 2, 2: 2, 3: 2, 4: 0, 5: 0}
+    alone = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert V.audit(alone, V.link(alone)) == (1.0, 0)

@@ -3,7 +3,9 @@
 ``encode`` and ``decode`` are the operators; both work batch by batch on the
 executors, without a shuffle. The ranks come from a file that every executor
 can open. A null text counts as empty and has no ids; other columns than
-``doc_id`` and ``text`` are not looked at; repeated rows give repeated results.
+``doc_id`` and ``text`` are not looked at; repeated rows give repeated results; an empty
+table gives an empty result; a very long text is encoded alone, in memory that
+its own length sets.
 """
 
 from __future__ import annotations

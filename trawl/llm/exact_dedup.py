@@ -12,14 +12,15 @@ map side. The other digests, each with few rows, go through an ordinary shuffle.
 Edge cases: a null text counts as empty; an empty table gives an empty result;
 a null ``doc_id`` loses against any other and is kept only if it is alone; of
 rows that are equal in digest and ``doc_id`` exactly one is kept; columns of
-other names pass through ``deduplicate`` whatever they are called.
+other names pass through ``deduplicate`` whatever they are called; a very long
+text is one digest like any other.
 """
 
 from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trawl.staging import staged
@@ -61,9 +62,9 @@ def resolve(docs: DataFrame, share: float = SHARE) -> DataFrame:
     may_be = frequent(base, "text_sha256", share)
     heavy = staged(base.join(F.broadcast(may_be), "text_sha256", "left_semi").groupBy("text_sha256").agg(best, F.count("*").alias("group_size")).where("group_size > 1"), "winners")
     settled = base.join(F.broadcast(heavy), "text_sha256")
-    group = Window.partitionBy("text_sha256")
     rest = base.join(F.broadcast(heavy.select("text_sha256")), "text_sha256", "left_anti")
-    rest = rest.select("*", F.max(F.struct("doc_id", "_row")).over(group).alias("_best"), F.count("*").over(group).alias("group_size"))
+    # summed on the map side: a digest just under the share is no large group in any task
+    rest = rest.join(rest.groupBy("text_sha256").agg(best, F.count("*").alias("group_size")), "text_sha256")
     out = settled.unionByName(rest)
     return out.select("doc_id", F.col("_best.doc_id").alias("keep_id"), "group_size", (F.col("_row") == F.col("_best._row")).alias("kept"), "text_sha256")
 

@@ -15,7 +15,8 @@ lowest; this bound is a parameter, and the only thing here that doesn't look
 at all data. Scoring reads each whole text once, without a shuffle.
 
 Edge cases: a null text is empty; ratings that are null, or of unknown
-documents, are left out; several ratings of a document count as the lowest;
+documents, are left out; several ratings of a document count as the lowest, and
+of its rows the text that sorts first; scores that tie at the cut are selected;
 without ratings of both the top and a lower grade nothing is rejected; an empty
 table gives an empty result; columns of other names pass through ``select``.
 """
@@ -188,6 +189,7 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, sample: int = SAMPLE, kee
     rated = ratings.where("doc_id IS NOT NULL AND grade IS NOT NULL").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # one row for each rating that is fitted on
     table = _featured(texts, dim).toArrow()
     order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
     grades = table["grade"].to_numpy()[order].astype(np.int64)

@@ -18,7 +18,9 @@ task's links goes on to the component search.
 Edge cases: a null text is empty; a text without words has fingerprint zero
 and links like any other; a null ``doc_id`` takes part but names a component
 only as null where there is no other; rows with equal fingerprint are one
-node; an empty table gives an empty result.
+node; an empty table gives an empty result; a very long text is hashed alone,
+in memory that its own length sets; columns of other names pass through
+``deduplicate`` whatever they are called; of equal doc_ids none is preferred.
 """
 
 from __future__ import annotations

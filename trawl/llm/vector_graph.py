@@ -19,7 +19,10 @@ of its links: never all pairs. ``audit`` compares with brute force.
 Edge cases: a vector that is null, empty, zero or holds null or non-finite
 components links with nothing; vectors of different lengths never link; a null
 ``vec_id`` counts as a vector, and names a component only if there is no other;
-repeated rows are copies of each other; an empty table gives an empty result.
+repeated rows are copies of each other; vectors of doubles are compared as such,
+others as floats, in double precision either way; an empty table gives an empty
+result; columns of other names than ``vec_id`` and ``embedding`` are not looked
+at.
 """
 
 from __future__ import annotations
@@ -52,8 +55,6 @@ SLACK = 0.05
 #: Queries that are searched for together.
 TOGETHER = 256
 
-_MEMBERS = "shard long, lo long, hi long, own long, gid long, weight long, shards array<long>, v array<float>"
-
 
 def unit(rows: np.ndarray) -> np.ndarray:
     """Rows with norm one, in double precision, also where squares would overflow."""
@@ -289,7 +290,8 @@ def members(nodes: DataFrame, overlap: int = OVERLAP, size: int = MEMBERS, hot:
                 kinds = pa.list_(pa.int64())
                 yield pa.record_batch([pa.array(near.ravel()), *rows.columns, pa.array([r for r in np.repeat(np.sort(near, axis=1), n, axis=0)], kinds)], names=["shard", "gid", "weight", "v", "shards"])
 
-    placed = staged(nodes.select("gid", "weight", "v").mapInArrow(assign, "shard long, gid long, weight long, v array<float>, shards array<long>"), "placed")
+    kind = nodes.schema["v"].dataType.simpleString()
+    placed = staged(nodes.select("gid", "weight", "v").mapInArrow(assign, f"shard long, gid long, weight long, v {kind}, shards array<long>"), "placed")
     big = staged(placed.groupBy("shard").count().where(F.col("count") > hot).select("shard", F.ceil(F.col("count") / block).alias("_blocks")), "hot-shards")
     dealt = placed.join(F.broadcast(big), "shard", "left").withColumn("_n", F.coalesce("_blocks", F.lit(1)))  # no more rows than centroids
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("gid"), F.col("_n"))).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
@@ -298,7 +300,8 @@ def members(nodes: DataFrame, overlap: int = OVERLAP, size: int = MEMBERS, hot:
 
 def link(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, hot: int = HOT, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of ``vectors`` (vec_id, embedding)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v")).withColumn("v", F.expr(f"CASE WHEN {_valid('v')} THEN transform(v, x -> x + float(0)) END"))
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v")).withColumn("v", F.expr(f"CASE WHEN {_valid('v')} THEN transform(v, x -> x + {kind}(0)) END"))
     rows = staged(rows, "vectors")
     distinct = rows.where("v IS NOT NULL").groupBy("v").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"))
     nodes = staged(distinct.withColumn("gid", F.monotonically_increasing_id()), "nodes")
@@ -319,12 +322,12 @@ def link(vectors: DataFrame, cosine: float = COSINE, overlap: int = OVERLAP, hot
     return out.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def audit(vectors: DataFrame, linked: DataFrame, queries: int = 500, cosine: float = COSINE) -> float:
-    """Share of brute force's links that ``linked`` has, over the ``queries`` vectors whose vec_id hashes lowest."""
+def audit(vectors: DataFrame, linked: DataFrame, queries: int = 500, cosine: float = COSINE) -> tuple[float, int]:
+    """Share of brute force's links that ``linked`` has, over the ``queries`` vectors whose vec_id hashes lowest, and how many links those are (without any, the share says nothing)."""
     rows = vectors.select("vec_id", F.expr(f"CASE WHEN {_valid('embedding')} THEN embedding END").alias("v")).where("v IS NOT NULL")
     asked = rows.orderBy(F.xxhash64("vec_id")).limit(queries).toArrow()
     if not asked.num_rows:
-        return 1.0
+        return 1.0, 0
     ids, q = asked["vec_id"].to_numpy(), unit(_matrix(asked["v"]))
 
     def run(batches):
@@ -335,4 +338,4 @@ def audit(vectors: DataFrame, linked: DataFrame, queries: int = 500, cosine: flo
 
     brute = rows.mapInArrow(run, "vec_id long, n long").groupBy("vec_id").agg((F.sum("n") - 1).alias("n"))
     row = brute.join(linked, "vec_id").agg(F.sum("n"), F.sum("n_links")).first()
-    return 1.0 if not row[0] else row[1] / row[0]
+    return (row[1] / row[0], row[0]) if row[0] else (1.0, 0)
