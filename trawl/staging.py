@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from trawl.shipping import ship
 
 _own: dict[str, str] = {}
+#: Paths of staged tables, in the order in which this program wrote them.
+made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +50,7 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     ship(spark)
     path = f"{_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -62,3 +65,12 @@ def cleanup(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(_root(spark))
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def forget(spark: SparkSession, paths: list[str], keep: DataFrame) -> None:
+    """Delete staged tables that are done with, but for those that ``keep`` reads."""
+    read = keep.inputFiles()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        if not any(path.getName() in f for f in read):
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
