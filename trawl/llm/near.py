@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,12 +61,22 @@ def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             )
 
 
+def _passed(batches: Iterator[pa.RecordBatch], let: Broadcast) -> Iterator[pa.RecordBatch]:
+    """The rows whose hash passes the sieve."""
+    begin("near")
+    for batch in batches:
+        yield batch.filter(pa.array(let.value.passes(batch[0].to_numpy())))
+
+
 def links(prints: DataFrame) -> DataFrame:
     """Edges (a, b) between the fingerprints of (_fp, text) that connect all near copies."""
     texts = staged(prints.select("_fp", "text").mapInArrow(_text_batches, _TEXTS), "texts-by-words")
     named = staged(texts.groupBy("h").agg(F.min("_fp").alias("f"), F.max("_fp").alias("l")), "first-prints")
     same = texts.select("_fp", "h").join(named.where("f != l"), "h").select(F.col("_fp").alias("a"), F.col("f").alias("b"))
-    near = staged(passages.links(passages.collisions(texts.select("h", *_BANDS).distinct()), texts.select("h", "words"), SIMILARITY), "near-texts")
+    colliding = passages.collisions(texts.select("h", *_BANDS).distinct())
+    let = passages.sieve(colliding.select(F.col("h").alias("v")).distinct())
+    some = texts.select("h", "words").mapInArrow(lambda b: _passed(b, let), "h long, words binary")
+    near = staged(passages.links(colliding, some, SIMILARITY), "near-texts")
     near = near.join(named.select(F.col("h").alias("a"), F.col("f").alias("fa")), "a").join(named.select(F.col("h").alias("b"), F.col("f").alias("fb")), "b")
     return same.union(near.select("fa", "fb")).where("a != b").distinct()
 

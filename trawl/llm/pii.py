@@ -155,7 +155,8 @@ def disclosing(docs: DataFrame, held: DataFrame, tokens: DataFrame, disclosure:
     # words and entities of a row meet by stretches of the text
     spans = held.select("_row", F.explode("_base").alias("x")).select("_row", "x.a", "x.b", F.expr(_CLASSES).alias("_of"))
     spans = spans.select("_row", F.col("a").alias("_a"), F.col("b").alias("_b"), "_of", F.explode(F.expr(f"sequence(cast(floor((a - {context}) / {context}) AS INT), cast(floor((b + {context}) / {context}) AS INT))")).alias("_stretch"))
-    near = tokens.withColumn("_stretch", F.floor(F.col("a") / context).cast("int")).join(spans.join(texts, "_row"), ["_row", "_stretch"])
+    near = tokens.withColumn("_stretch", F.floor(F.col("a") / context).cast("int")).join(spans.join(texts, "_row").hint("merge"), ["_row", "_stretch"])
+    # by sorting at every size: both sides grow with the input
     near = near.where(f"b > _a - {context} AND a < _b + {context}").select("_row", "_copies", "term", F.explode("_of").alias("class")).distinct()
     pairs = near.groupBy("class", "term").agg(F.sum("_copies").cast("double").alias("_nte"), F.count("*").alias("_texts"))
 
