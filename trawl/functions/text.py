@@ -97,6 +97,14 @@ FORMS: dict[str, Callable[[Column], Column]] = {
 }
 
 
+#: A registered name, or the function itself.
+Named = str | Callable[[Column], Column]
+
+
+def made_by(named: Named, known: dict[str, Callable[[Column], Column]]) -> Callable[[Column], Column]:
+    return named if callable(named) else known[named]
+
+
 def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(given(text), SPACE), lambda w: w != ""))
 

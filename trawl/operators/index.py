@@ -53,19 +53,19 @@ class Index:
         return Index(staged(self.docs, "documents"), staged(self.postings.repartition("domain", "term"), "postings"), True)
 
 
-def tokens_of(corpus: DataFrame, tokenizer: str) -> DataFrame:
+def tokens_of(corpus: DataFrame, tokenizer: text.Named) -> DataFrame:
     """domain, doc_id, len and term of every token; a document without tokens has one row with a null term."""
-    made = corpus.select("domain", "doc_id", text.TOKENIZERS[tokenizer](F.col("text")).alias("tokens"))
+    made = corpus.select("domain", "doc_id", text.made_by(tokenizer, text.TOKENIZERS)(F.col("text")).alias("tokens"))
     return made.select("domain", "doc_id", F.size("tokens").cast("long").alias("len"), F.explode_outer("tokens").alias("term"))
 
 
-def build(corpus: DataFrame, tokenizer: str = "simple") -> Index:
-    """Index of ``corpus`` (domain, doc_id, text)."""
-    docs = corpus.select("domain", "doc_id", F.size(text.TOKENIZERS[tokenizer](F.col("text"))).cast("long").alias("len"))
+def build(corpus: DataFrame, tokenizer: text.Named = "simple") -> Index:
+    """Index of ``corpus`` (domain, doc_id, text); the tokenizer is a name or a function from a text column to an array of terms."""
+    docs = corpus.select("domain", "doc_id", F.size(text.made_by(tokenizer, text.TOKENIZERS)(F.col("text"))).cast("long").alias("len"))
     if tokenizer in text.STEMMED:
         stems = porter.with_stems(tokens_of(corpus, tokenizer).where("term IS NOT NULL"))
         return Index(docs, stems.groupBy("domain", "doc_id", "len", "term").agg(F.count("*").cast("double").alias("tf")))
-    return Index(docs, _postings(corpus.select("domain", "doc_id", F.sort_array(text.TOKENIZERS[tokenizer](F.col("text"))).alias("_s"))))
+    return Index(docs, _postings(corpus.select("domain", "doc_id", F.sort_array(text.made_by(tokenizer, text.TOKENIZERS)(F.col("text"))).alias("_s"))))
 
 
 def _postings(docs: DataFrame) -> DataFrame:
@@ -76,9 +76,9 @@ def _postings(docs: DataFrame) -> DataFrame:
     return rows.select("domain", "doc_id", "len", "_x.term", "_x.tf")
 
 
-def query_terms(queries: DataFrame, tokenizer: str, form: str) -> DataFrame:
+def query_terms(queries: DataFrame, tokenizer: text.Named, form: text.Named) -> DataFrame:
     """domain, query_id, term, qtf of ``queries`` (domain, query_id, text)."""
-    tokens = queries.select("domain", "query_id", F.explode(text.TOKENIZERS[tokenizer](text.FORMS[form](F.col("text")))).alias("term"))
+    tokens = queries.select("domain", "query_id", F.explode(text.made_by(tokenizer, text.TOKENIZERS)(text.made_by(form, text.FORMS)(F.col("text")))).alias("term"))
     if tokenizer in text.STEMMED:
         tokens = porter.with_stems(tokens)
     return tokens.groupBy("domain", "query_id", "term").agg(F.count("*").cast("double").alias("qtf"))

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from trawl.functions.text import id_shape
+
 LIST = ["domain", "query_id"]
 
 
@@ -72,3 +74,26 @@ def bootstrap_by_generator(diffs: dict[str, np.ndarray], resamples: int = 10_000
 def headroom(before: float, after: float, ceiling: float) -> float:
     """The share of what reranking could gain that it did gain."""
     return (after - before) / (ceiling - before)
+
+
+def projections(before: float, ceiling: float, shares: tuple[float, ...] = (0.2, 0.3, 0.4)) -> dict[float, float]:
+    """The score at which reranking would have gained each of these shares of what it could."""
+    return {s: before + s * (ceiling - before) for s in shares}
+
+
+def gold_counts(gold: DataFrame) -> DataFrame:
+    """median, mean, least and most judged documents of a query."""
+    counts = gold.groupBy(*LIST).agg(F.count_distinct("doc_id").alias("n"))
+    return counts.agg(F.percentile("n", F.lit(0.5)).alias("median"), F.avg("n").alias("mean"), F.min("n").alias("least"), F.max("n").alias("most"))
+
+
+def short_id_shares(corpus: DataFrame, gold: DataFrame) -> DataFrame:
+    """domain, in_corpus, in_gold, n_gold: shares of short ids, in percent, over documents and over different judged ones."""
+
+    def share(rows: DataFrame, name: str) -> DataFrame:
+        short = F.avg(F.when(id_shape(F.col("doc_id")) == "short", 100.0).otherwise(0.0))
+        return rows.groupBy("domain").agg(short.alias(name), F.count("*").alias(f"n_{name}"))
+
+    judged = share(gold.select("domain", "doc_id").distinct(), "in_gold")
+    both = share(corpus.select("domain", "doc_id"), "in_corpus").join(judged, "domain", "left")
+    return both.select("domain", "in_corpus", F.coalesce("in_gold", F.lit(0.0)).alias("in_gold"), F.coalesce("n_in_gold", F.lit(0)).alias("n_gold"))

@@ -217,10 +217,31 @@ def _external(context: Context, _: DataFrame | None, c: dict) -> DataFrame:
     return runs.from_scores(context.jobs[c["job"]], c.get("depth"))
 
 
+def _groups(context: Context) -> DataFrame:
+    return runs.duplicate_groups(context.corpus, "pos" if "pos" in context.corpus.columns else "doc_id")
+
+
+def store_groups(context: Context, force: bool = False) -> DataFrame:
+    """Write the duplicate map to the cache, unless it is there, and return domain, in_groups, groups."""
+    path = f"{context.cache}/groups"
+    if force or not _there(context.spark, path):
+        _groups(context).write.mode("overwrite").partitionBy("domain").parquet(path)
+    return stored_groups(context).groupBy("domain").agg(F.count("*").alias("in_groups"), F.count_distinct("canonical_id").alias("groups"))
+
+
+def stored_groups(context: Context) -> DataFrame:
+    """The duplicate map (domain, doc_id, canonical_id) from the cache; an error where it was not stored."""
+    path = f"{context.cache}/groups"
+    if not context.cache or not _there(context.spark, path):
+        raise FileNotFoundError(f"no duplicate map in {path}: call store_groups(context) first")
+    return context.spark.read.schema("doc_id string, canonical_id string, domain string").parquet(path).select("domain", "doc_id", "canonical_id")
+
+
 @register("dedup", "content_hash")
 def _dedup(context: Context, incoming: DataFrame, c: dict) -> DataFrame:
-    position = "pos" if "pos" in context.corpus.columns else "doc_id"
-    return runs.dedup(incoming, runs.duplicate_groups(context.corpus, position), c.get("expand", 1), c.get("keep"))
+    """With the stored duplicate map if the cache has one."""
+    known = context.cache and _there(context.spark, f"{context.cache}/groups")
+    return runs.dedup(incoming, stored_groups(context) if known else _groups(context), c.get("expand", 1), c.get("keep"))
 
 
 @register("rerank", "gpu_job")
