@@ -1,10 +1,14 @@
+import gc
 import math
 import random
+import sys
+import tracemalloc
 import zlib
 from hashlib import sha256
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -57,6 +61,41 @@ def test_chunks_are_the_library():
         assert own.encode(some) == [np.array(x.ids, "<u4").tobytes() for x in want.encode_batch(some, add_special_tokens=False)]
 
 
+def test_new_words_are_encoded_together():
+    """Words that a worker meets for the first time don't cost a call of the library each."""
+    own = chunks.library_encoder.__wrapped__(P.path("byte_bpe_50k.json"))
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdeéłß") for _ in range(r.randint(1, 12))) for _ in range(3000)] + ["x" * 5000]
+    calls = []
+    sys.setprofile(lambda f, event, arg: calls.append(1) if event == "c_call" and arg.__name__ in ("tokenize", "encode_batch_fast") else None)
+    try:
+        got = own.encode([" ".join(words)])
+    finally:
+        sys.setprofile(None)
+    assert got == [np.array(library().encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()]
+    assert len(calls) < len(set(words)) / 100
+
+
+def test_remembered_chunks_are_small(monkeypatch):
+    """In Python's own objects a remembered chunk took over 100 bytes; and what is forgotten is encoded again."""
+    own = chunks.library_encoder.__wrapped__(P.path("byte_bpe_50k.json"))
+    r = random.Random(8)
+    words = list({"".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(20_000)})
+    own.encode(["warm up"])
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    own.encode([" ".join(words)])
+    gc.collect()
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert kept < 64 * len(words)
+    monkeypatch.setattr(chunks, "REMEMBERED", 50)
+    want = library()
+    for k in range(40):
+        some = [" ".join(r.choice(words[:200]) for _ in range(30)) for _ in range(3)]
+        assert own.encode(some) == [np.array(x.ids, "<u4").tobytes() for x in want.encode_batch(some, add_special_tokens=False)], k
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(7, i, t, "clash") for i, t in rows], SCHEMA).repartition(3)
 

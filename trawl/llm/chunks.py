@@ -37,6 +37,9 @@ _STOP = re.compile("([.,])(?<=[A-Za-z0-9À-ÖØ-öø-ÿ][.,])(?=[ \n])")
 _STOPS = "([A-Za-z0-9À-ÖØ-öø-ÿ])([.,])([ \n])"
 #: Latin letters alone, after the mark or not.
 _LETTERS = re.compile(f"{_RAW}?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+#: How byte-level vocabularies write byte 0, which no letter has; so many words are encoded as one with it between them.
+_BETWEEN = "\u0100"
+JOINED = 16
 #: How many bytes are written as their own character.
 _PRINTED = 188
 #: Where ``keys_of`` has to look closely.
@@ -56,35 +59,35 @@ def chunk_of(key: str) -> str:
     return key[1:] if key[:1] == _RAW else " " + key
 
 
+def _nothing() -> tuple[pa.StringArray, pa.LargeBinaryArray]:
+    return pa.array([], pa.string()), pa.array([], pa.large_binary())
+
+
 class Chunked:
     """Texts to their ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, encode_keys: Callable[[list[str]], Iterable[bytes]]):
         self.encode_keys = encode_keys
-        self.seen: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # keys and their ids, as Arrow has them: Python's strings and bytes take several times as much
+        self.seen, self.older = _nothing(), _nothing()
 
-    def values(self, keys: list[str]) -> list[bytes]:
+    def values(self, keys: pa.StringArray) -> pa.LargeBinaryArray:
         """The ids of different keys."""
-        if len(self.seen) > REMEMBERED:
-            self.seen, self.older = {}, self.seen
-        seen, older = self.seen, self.older
-        out = list(map(seen.get, keys))
-        new, at = [], -1
-        while True:
-            try:
-                at = out.index(None, at + 1)
-            except ValueError:
-                break
-            if (found := older.get(keys[at])) is None:
-                new.append(at)
-            else:
-                out[at] = seen[keys[at]] = found
-        missing = [keys[k] for k in new]
-        for k, key, ids in zip(new, missing, self.encode_keys(missing) if missing else [], strict=True):
-            out[k] = ids
-            if len(key) <= LONGEST:
-                seen[key] = ids
+        if len(self.seen[0]) > REMEMBERED:
+            self.seen, self.older = _nothing(), self.seen
+        place = pc.fill_null(pc.index_in(keys, value_set=self.seen[0]), -1).to_numpy().astype(np.int64)
+        gaps = np.flatnonzero(place < 0)
+        missing = keys.take(pa.array(gaps))
+        back = pc.index_in(missing, value_set=self.older[0])
+        is_new = back.is_null().to_numpy(zero_copy_only=False)
+        old, new = missing.filter(back.is_valid()), missing.filter(back.is_null())
+        old_ids = self.older[1].take(back.drop_null())
+        new_ids = pa.array(list(self.encode_keys(new.to_pylist())) if len(new) else [], pa.large_binary())
+        place[gaps] = len(self.seen[0]) + np.where(is_new, len(old) + np.cumsum(is_new), np.cumsum(~is_new)) - 1
+        out = pa.concat_arrays([self.seen[1], old_ids, new_ids]).take(pa.array(place))
+        if len(gaps):
+            kept = pc.less_equal(pc.utf8_length(new), LONGEST)
+            self.seen = pa.concat_arrays([self.seen[0], old, new.filter(kept)]), pa.concat_arrays([self.seen[1], old_ids, new_ids.filter(kept)])
         return out
 
     def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -92,7 +95,7 @@ class Chunked:
         texts = texts.fill_null("")
         lists = _cut_lists(texts)
         keys = lists.flatten().dictionary_encode()
-        found = pa.array(self.values(keys.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary()).take(keys.indices)
+        found = self.values(keys.dictionary).take(keys.indices)
         ends = np.frombuffer(found.buffers()[1], "<i8", len(found) + 1, found.offset * 8)
         ids = np.frombuffer(found.buffers()[2] or b"", "<u4", int(ends[-1]) // 4)
         return ids, ends[np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])] // 4
@@ -139,8 +142,24 @@ def library_encoder(path: str) -> Chunked:
     #: how byte-level vocabularies write a byte, by the character of its number
     written = {b: c for b, c in zip(_byte_order(), [chr(k) for k in _byte_order()[:_PRINTED]] + [chr(256 + k) for k in range(256 - _PRINTED)], strict=True)}
 
+    # where nothing merges with byte 0, words on either side of it are encoded as they are alone
+    model, bare = tokenizer.model, Tokenizer(tokenizer.model)
+    between = bare.token_to_id(_BETWEEN)
+    apart = between is not None and sum(_BETWEEN in t for t in bare.get_vocab()) == 1 and not model.ignore_merges and model.dropout is None
+
+    def words(some: list[str]) -> list[bytes]:
+        if not apart:
+            return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in some]
+        flat = array("I")
+        for x in bare.encode_batch_fast([_BETWEEN.join(some[k : k + JOINED]) + _BETWEEN for k in range(0, len(some), JOINED)], add_special_tokens=False):
+            flat.extend(x.ids)
+        raw, ends = flat.tobytes(), np.flatnonzero(np.frombuffer(flat, np.uint32) == between)
+        return [raw[i:j] for i, j in zip([0, *(4 * ends[:-1] + 4).tolist()], (4 * ends).tolist(), strict=True)]
+
     def encode(keys: list[str]) -> list[bytes]:
-        found: list[bytes] = []
+        found: list[bytes] = [b""] * len(keys)
+        letters: list[int] = []
+        written_as: list[str] = []
         rest: list[int] = []
         for k, key in enumerate(keys):
             # Latin letters, with their space if they have one, are one match of the pattern: the library's model alone
@@ -148,10 +167,13 @@ def library_encoder(path: str) -> Chunked:
                 word = "Ġ" + key if key[0] != _RAW else key[1:]
                 if not key.isascii():
                     word = chunk_of(key).encode().decode("latin-1").translate(written)
-                found.append(array("I", [t.id for t in tokenize(word)]).tobytes())
+                letters.append(k)
+                written_as.append(word)
             else:
-                found.append(b"")
                 rest.append(k)
+        if letters:
+            for k, ids in zip(letters, words(written_as), strict=True):
+                found[k] = ids
         if rest:
             for k, x in zip(rest, tokenizer.encode_batch_fast([chunk_of(keys[k]) for k in rest], add_special_tokens=False), strict=True):
                 found[k] = np.array(x.ids, dtype="<u4").tobytes()
