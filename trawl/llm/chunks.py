@@ -40,6 +40,8 @@ _LETTERS = re.compile(f"{_RAW}?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
 #: How byte-level vocabularies write byte 0, which no letter has; so many words are encoded as one with it between them.
 _BETWEEN = "\u0100"
 JOINED = 16
+#: Of these, how many go to the library in one call.
+AT_ONCE = 128
 #: How many bytes are written as their own character.
 _PRINTED = 188
 #: Where ``keys_of`` has to look closely.
@@ -151,8 +153,10 @@ def library_encoder(path: str) -> Chunked:
         if not apart:
             return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in some]
         flat = array("I")
-        for x in bare.encode_batch_fast([_BETWEEN.join(some[k : k + JOINED]) + _BETWEEN for k in range(0, len(some), JOINED)], add_special_tokens=False):
-            flat.extend(x.ids)
+        joined = [_BETWEEN.join(some[k : k + JOINED]) + _BETWEEN for k in range(0, len(some), JOINED)]
+        for k in range(0, len(joined), AT_ONCE):  # the library's results are large
+            for x in bare.encode_batch_fast(joined[k : k + AT_ONCE], add_special_tokens=False):
+                flat.extend(x.ids)
         raw, ends = flat.tobytes(), np.flatnonzero(np.frombuffer(flat, np.uint32) == between)
         return [raw[i:j] for i, j in zip([0, *(4 * ends[:-1] + 4).tolist()], (4 * ends).tolist(), strict=True)]
 
