@@ -76,6 +76,28 @@ def test_new_words_are_encoded_together():
     assert len(calls) < len(set(words)) / 100
 
 
+def test_new_words_are_no_objects_of_python():
+    """Neither a call nor a string of Python for each word that a worker meets for the first time; the ids are the library's."""
+    own = chunks.library_encoder.__wrapped__(P.path("byte_bpe_50k.json"))
+    r = random.Random(9)
+    words = list({"".join(r.choice("abcdeéłßÿɏ") for _ in range(r.randint(1, 12))) for _ in range(2 * chunks.AT_ONCE + 7)})
+    calls = []
+    sys.setprofile(lambda f, event, arg: calls.append(1) if event in ("call", "c_call") else None)
+    try:
+        got = own.encode([" ".join(words)])
+    finally:
+        sys.setprofile(None)
+    assert got == [np.array(library().encode(" ".join(words), add_special_tokens=False).ids, "<u4").tobytes()]
+    assert len(calls) < len(words) / 4
+
+
+def test_places_of_keys():
+    r = random.Random(10)
+    for few, many in ((0, 5), (5, 0), (3, 40), (40, 3), (30, 30)):
+        keys, among = ([f"k{x}" for x in r.sample(range(60), n)] for n in (few, many))
+        assert chunks._places(pa.array(keys, pa.string()), pa.array(among, pa.string())).tolist() == [among.index(k) if k in among else -1 for k in keys]
+
+
 def test_remembered_chunks_are_small(monkeypatch):
     """In Python's own objects a remembered chunk took over 100 bytes; and what is forgotten is encoded again."""
     own = chunks.library_encoder.__wrapped__(P.path("byte_bpe_50k.json"))

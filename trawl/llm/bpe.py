@@ -31,7 +31,7 @@ _ENCODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 def _encoder(ranks_path: str, pattern: str) -> Chunked:
     """A worker keeps it, and the states that texts have visited, from task to task."""
     encoder = Encoder(read_ranks(ranks_path), pattern)
-    return Chunked(lambda keys: [np.array(encoder.encode(chunk_of(k)), dtype="<u4").tobytes() for k in keys])
+    return Chunked(lambda keys: pa.array([np.array(encoder.encode(chunk_of(k)), dtype="<u4").tobytes() for k in keys.to_numpy(zero_copy_only=False).tolist()], pa.large_binary()))
 
 
 @lru_cache(maxsize=2)

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -35,13 +36,13 @@ _OTHER = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u20
 _STOP = re.compile("([.,])(?<=[A-Za-z0-9À-ÖØ-öø-ÿ][.,])(?=[ \n])")
 # the same for Arrow's matcher, which looks neither back nor ahead; what it takes in never is what the next match begins with
 _STOPS = "([A-Za-z0-9À-ÖØ-öø-ÿ])([.,])([ \n])"
-#: Latin letters alone, after the mark or not.
-_LETTERS = re.compile(f"{_RAW}?[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
-#: How byte-level vocabularies write byte 0, which no letter has; so many words are encoded as one with it between them.
-_BETWEEN = "\u0100"
-JOINED = 16
-#: Of these, how many go to the library in one call.
-AT_ONCE = 128
+#: Latin letters alone, after the mark or not, for Arrow's matcher.
+_LETTERS = f"^{_RAW}?[A-Za-zÀ-ÖØ-öø-ɏ]+$"
+#: Byte 0, which no letter has, and how byte-level vocabularies write it; so many words are encoded as one with it between them.
+_ZERO, _BETWEEN = "\0", "\u0100"
+JOINED = 64
+#: Words that go to the library in one call, whose results are large.
+AT_ONCE = 2048
 #: How many bytes are written as their own character.
 _PRINTED = 188
 #: Where ``keys_of`` has to look closely.
@@ -61,6 +62,27 @@ def chunk_of(key: str) -> str:
     return key[1:] if key[:1] == _RAW else " " + key
 
 
+def _chunks(keys: pa.StringArray) -> pa.StringArray:
+    """``chunk_of`` for many at once."""
+    return pc.if_else(pc.starts_with(keys, _RAW), pc.utf8_slice_codeunits(keys, 1), pc.binary_join_element_wise(" ", keys, ""))
+
+
+def _places(keys: pa.StringArray, among: pa.StringArray) -> np.ndarray:
+    """Where each of different keys is ``among`` others, which differ too; -1 if it isn't. Only the fewer are hashed into a table."""
+    if len(among) <= len(keys):
+        return pc.fill_null(pc.index_in(keys, value_set=among), -1).to_numpy().astype(np.int64)
+    out, back = np.full(len(keys), -1), pc.fill_null(pc.index_in(among, value_set=keys), -1).to_numpy()
+    on = np.flatnonzero(back >= 0)
+    out[back[on]] = on
+    return out
+
+
+def _binaries(ids: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """Runs of ids that end before ``ends``, each as bytes."""
+    offsets = np.concatenate([[0], 4 * ends.astype(np.int64)])
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids, "<u4"))])
+
+
 def _nothing() -> tuple[pa.StringArray, pa.LargeBinaryArray]:
     return pa.array([], pa.string()), pa.array([], pa.large_binary())
 
@@ -68,7 +90,7 @@ def _nothing() -> tuple[pa.StringArray, pa.LargeBinaryArray]:
 class Chunked:
     """Texts to their ids as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, encode_keys: Callable[[list[str]], Iterable[bytes]]):
+    def __init__(self, encode_keys: Callable[[pa.StringArray], pa.LargeBinaryArray]):
         self.encode_keys = encode_keys
         # keys and their ids, as Arrow has them: Python's strings and bytes take several times as much
         self.seen, self.older = _nothing(), _nothing()
@@ -77,14 +99,14 @@ class Chunked:
         """The ids of different keys."""
         if len(self.seen[0]) > REMEMBERED:
             self.seen, self.older = _nothing(), self.seen
-        place = pc.fill_null(pc.index_in(keys, value_set=self.seen[0]), -1).to_numpy().astype(np.int64)
+        place = _places(keys, self.seen[0])
         gaps = np.flatnonzero(place < 0)
         missing = keys.take(pa.array(gaps))
-        back = pc.index_in(missing, value_set=self.older[0])
-        is_new = back.is_null().to_numpy(zero_copy_only=False)
-        old, new = missing.filter(back.is_valid()), missing.filter(back.is_null())
-        old_ids = self.older[1].take(back.drop_null())
-        new_ids = pa.array(list(self.encode_keys(new.to_pylist())) if len(new) else [], pa.large_binary())
+        back = _places(missing, self.older[0])
+        is_new = back < 0
+        old, new = missing.filter(pa.array(~is_new)), missing.filter(pa.array(is_new))
+        old_ids = self.older[1].take(pa.array(back[~is_new]))
+        new_ids = self.encode_keys(new) if len(new) else _nothing()[1]
         place[gaps] = len(self.seen[0]) + np.where(is_new, len(old) + np.cumsum(is_new), np.cumsum(~is_new)) - 1
         out = pa.concat_arrays([self.seen[1], old_ids, new_ids]).take(pa.array(place))
         if len(gaps):
@@ -140,48 +162,46 @@ def library_encoder(path: str) -> Chunked:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    tokenize = tokenizer.model.tokenize
-    #: how byte-level vocabularies write a byte, by the character of its number
-    written = {b: c for b, c in zip(_byte_order(), [chr(k) for k in _byte_order()[:_PRINTED]] + [chr(256 + k) for k in range(256 - _PRINTED)], strict=True)}
+    #: how byte-level vocabularies write a byte, at its number
+    written = "".join(c for _, c in sorted(zip(_byte_order(), [chr(k) for k in _byte_order()[:_PRINTED]] + [chr(256 + k) for k in range(256 - _PRINTED)], strict=True)))
 
     # where nothing merges with byte 0, words on either side of it are encoded as they are alone
     model, bare = tokenizer.model, Tokenizer(tokenizer.model)
     between = bare.token_to_id(_BETWEEN)
     apart = between is not None and sum(_BETWEEN in t for t in bare.get_vocab()) == 1 and not model.ignore_merges and model.dropout is None
 
-    def words(some: list[str]) -> list[bytes]:
-        if not apart:
-            return [array("I", [t.id for t in tokenize(w)]).tobytes() for w in some]
-        flat = array("I")
-        joined = [_BETWEEN.join(some[k : k + JOINED]) + _BETWEEN for k in range(0, len(some), JOINED)]
-        for k in range(0, len(joined), AT_ONCE):  # the library's results are large
-            for x in bare.encode_batch_fast(joined[k : k + AT_ONCE], add_special_tokens=False):
+    def words(some: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks that are one match of the pattern each, by the library's model alone, and where each chunk's end."""
+        whole, flat = pc.binary_join_element_wise(some, _ZERO, ""), array("I")
+        ends = np.frombuffer(whole.buffers()[1], "<i4", len(whole) + 1)
+        raw, at = memoryview(whole.buffers()[2]), [*ends[:-1:JOINED].tolist(), int(ends[-1])]
+        joined = list(zip(at, at[1:], strict=False))
+        for k in range(0, len(joined), AT_ONCE // JOINED):
+            for x in bare.encode_batch_fast([charmap_decode(raw[i:j], "strict", written)[0] for i, j in joined[k : k + AT_ONCE // JOINED]], add_special_tokens=False):
                 flat.extend(x.ids)
-        raw, ends = flat.tobytes(), np.flatnonzero(np.frombuffer(flat, np.uint32) == between)
-        return [raw[i:j] for i, j in zip([0, *(4 * ends[:-1] + 4).tolist()], (4 * ends).tolist(), strict=True)]
-
-    def encode(keys: list[str]) -> list[bytes]:
-        found: list[bytes] = [b""] * len(keys)
-        letters: list[int] = []
-        written_as: list[str] = []
-        rest: list[int] = []
-        for k, key in enumerate(keys):
-            # Latin letters, with their space if they have one, are one match of the pattern: the library's model alone
-            if _LETTERS(key):
-                word = "Ġ" + key if key[0] != _RAW else key[1:]
-                if not key.isascii():
-                    word = chunk_of(key).encode().decode("latin-1").translate(written)
-                letters.append(k)
-                written_as.append(word)
-            else:
-                rest.append(k)
-        if letters:
-            for k, ids in zip(letters, words(written_as), strict=True):
-                found[k] = ids
-        if rest:
-            for k, x in zip(rest, tokenizer.encode_batch_fast([chunk_of(keys[k]) for k in rest], add_special_tokens=False), strict=True):
-                found[k] = np.array(x.ids, dtype="<u4").tobytes()
-        return found
+        ids = np.frombuffer(flat, np.uint32)
+        ends = np.flatnonzero(ids == between)
+        return ids[ids != between], ends - np.arange(len(ends))
+
+    def others(some: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of chunks by all that the library does, and where each chunk's end."""
+        flat, sizes = array("I"), []
+        for k in range(0, len(some), AT_ONCE):
+            for x in tokenizer.encode_batch_fast(some[k : k + AT_ONCE].to_numpy(zero_copy_only=False).tolist(), add_special_tokens=False):
+                flat.extend(own := x.ids)
+                sizes.append(len(own))
+        return np.frombuffer(flat, np.uint32), np.cumsum(sizes)
+
+    def encode(keys: pa.StringArray) -> pa.LargeBinaryArray:
+        chunks = _chunks(keys)
+        # Latin letters, with their space if they have one, are one match of the pattern
+        alone = pc.match_substring_regex(keys, _LETTERS).to_numpy(zero_copy_only=False) & apart
+        order = np.concatenate([np.flatnonzero(alone), np.flatnonzero(~alone)])
+        found = [f(some) for f, m in ((words, alone), (others, ~alone)) if len(some := chunks.filter(pa.array(m)))]
+        ids = pa.concat_arrays([_binaries(*x) for x in found])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return ids.take(pa.array(place))
 
     return Chunked(encode)
 

@@ -86,9 +86,9 @@ def _replaced(seq: np.ndarray, at: np.ndarray, place: np.ndarray, one: np.ndarra
     some = np.flatnonzero(mine >= 0)
     at, mine = at[some], mine[some]
     # of pairs that overlap in a run, every other one
-    opens = np.diff(at, prepend=-2) > 1
-    since = np.arange(len(at)) - np.flatnonzero(opens)[np.cumsum(opens) - 1]
-    some = np.flatnonzero(since % 2 == 0)
+    opens = np.flatnonzero(np.diff(at, prepend=-2) > 1)
+    odd = np.arange(len(at), dtype=np.uint8) & 1
+    some = np.flatnonzero(odd == np.repeat(odd[opens], np.diff(opens, append=len(at))))
     at, mine = at[some], mine[some]
     out, stays = seq.copy(), np.ones(len(seq), dtype=bool)
     out[at] = (first + mine).astype(np.uint32)
