@@ -3,7 +3,8 @@
 Each stage applies one operator of ``trawl.llm`` to all that its predecessor
 kept, and all but the last return the columns of ``documents``. ``run`` writes
 what a stage returns as Parquet to the shared folder and rereads it. When a
-stage begins, the tables that its predecessor staged on the way have served.
+stage begins, the tables that its predecessor staged on the way have served,
+and the driver gives back the memory that it has freed.
 
 Edge cases: a null text is empty for every stage (and may be packed as its end
 id alone); equal texts, nulls among them, are one document; a null ``doc_id``
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trawl.llm import catalogue, exact_dedup, near, packing, pii, quality
-from trawl.staging import forget, made, staged
+from trawl.staging import forget, give_back, made, staged
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 _left: list[str] = []
@@ -33,6 +34,7 @@ def _tidy(stage: Stage) -> Stage:
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         forget(spark, _left, docs)
+        give_back(spark)
         before = len(made)
         out = stage(spark, docs, sf_dir)
         _left[:] = made[before:]

@@ -3,6 +3,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from trawl.llm import quality as Q
 
@@ -93,3 +94,17 @@ def test_scores_against_brute_force(spark):
     got = {r.doc_id: (r.expected_grade, r.selected) for r in Q.score(docs, model).collect()}
     for (i, _), (grade, chosen) in zip(rows, brute_scores(model, [t for _, t in rows]), strict=True):
         assert abs(got[i][0] - grade) < 1e-4 and got[i][1] == chosen
+
+
+def test_the_driver_meets_only_the_model(spark, monkeypatch):
+    """The rated documents' features go to the task that fits, which finds what fitting them here finds."""
+    rows = made(300)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int")
+    here = Q._fitted(pa.table([[i for i, *_ in rows], [g for *_, g in rows], [Q.features(t) for _, t, _ in rows]], schema=Q._ON), 2, Q.KEEP, Q.DIM)
+    fitted = []
+    monkeypatch.setattr(Q, "train", lambda rows, *a, **b: fitted.append(len(rows)))
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: fitted.append(-1))
+    model = Q.fit(docs, ratings, 2)
+    assert fitted == []
+    assert (model.weights == here.weights).all() and (model.thresholds == here.thresholds).all() and model.cut == here.cut

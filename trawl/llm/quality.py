@@ -12,7 +12,8 @@ documents stay.
 
 Fitting uses at most ``SAMPLE`` rated documents, those whose doc_id hashes
 lowest; this bound is a parameter, and the only thing here that doesn't look
-at all data. Scoring reads each whole text once, without a shuffle.
+at all data. One task fits, so that the driver meets no more than the model.
+Scoring reads each whole text once, without a shuffle.
 
 Edge cases: a null text is empty; ratings that are null, or of unknown
 documents, are left out; several ratings of a document count as the lowest, and
@@ -173,6 +174,10 @@ def train(rows: list[np.ndarray], grades: np.ndarray, top: int, dim: int = DIM,
     return model
 
 
+#: What is fitted on.
+_ON = pa.schema([("doc_id", pa.int64()), ("grade", pa.int32()), ("on", pa.list_(pa.int32()))])
+
+
 def _featured(docs: DataFrame, dim: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("quality")
@@ -190,7 +195,20 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, sample: int = SAMPLE, kee
     chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     texts = texts.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))  # one row for each rating that is fitted on
-    table = _featured(texts, dim).toArrow()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("quality")
+        model = _fitted(pa.Table.from_batches(batches, _ON), top, keep, dim)
+        yield pa.record_batch([pa.array([x]) for x in (model.weights.tobytes(), model.thresholds.tolist(), model.cut)], names=["weights", "thresholds", "cut"])
+
+    found = _featured(texts, dim).repartition(1).mapInArrow(run, "weights binary, thresholds array<double>, cut double").collect()  # a row at most
+    if not found:
+        return _fitted(_ON.empty_table(), top, keep, dim)
+    return Model(np.frombuffer(found[0]["weights"], np.float32), np.array(found[0]["thresholds"]), found[0]["cut"])
+
+
+def _fitted(table: pa.Table, top: int, keep: float, dim: int) -> Model:
+    """The model of (doc_id, grade, on)."""
     order = np.argsort(table["doc_id"].to_numpy(), kind="stable")
     grades = table["grade"].to_numpy()[order].astype(np.int64)
     on = table["on"].combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
@@ -199,7 +217,10 @@ def fit(docs: DataFrame, ratings: DataFrame, top: int, sample: int = SAMPLE, kee
     if not (0 < (grades == top).sum() < len(grades)):
         return train([], grades, top, dim)
     fitted = [r for r, h in zip(rows, held, strict=True) if not h]
-    common = np.bincount(np.concatenate(fitted), minlength=dim) >= COMMON if fitted else np.zeros(dim, bool)
+    times = np.zeros(dim, np.int32)
+    for r in fitted:  # a row has a feature once
+        times[r] += 1
+    common = times >= COMMON
     model = train([r[common[r]] for r in fitted], grades[~held], top, dim)
     good = np.sort(model.tails([r for r, h in zip(rows, held & (grades == top), strict=True) if h])[:, -1])
     model.cut = float(good[int(len(good) * (1 - keep))]) if len(good) else 0.0
