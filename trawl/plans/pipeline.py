@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from trawl.operators import evaluate, runs, stats
 from trawl.operators.index import Index, build
 from trawl.operators.search import Weighting, search
+from trawl.staging import staged
 
 STAGES = ("retrieve", "dedup", "rerank", "fuse")
 Stage = Callable[["Context", DataFrame | None, dict], DataFrame]
@@ -120,8 +121,8 @@ def note(context: Context, key: str, config: dict) -> None:
 
 
 def score(context: Context, config: dict, gold: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per query, per domain, macro."""
-    lists = run(context, config)
+    """Per query, per domain, macro. The run is written once, as each of them reads it."""
+    lists = staged(run(context, config), "run")
     scores = evaluate.per_query(lists, gold)
     domains = evaluate.by_domain(scores, gold, lists)
     return scores, domains, evaluate.macro(domains)
